@@ -13,9 +13,9 @@ candidates that share a band:
 
 1. exact copies (equal multisets by a 128-bit key) fold into one node;
 2. every bucket's least node is its pivot; each member is verified against it, and the links give components;
-3. where a bucket still holds several components, the members outside its largest one are compared, in
-   blocks of signatures, with all members of other components, and pairs that may reach the threshold
-   are verified exactly.  So a chain that misses the pivot is found too; nothing is capped.
+3. where the members of a pivot still fall into several components, those outside the largest are compared, in
+   blocks, with all members of other components: signatures first, then exactly where they may reach the
+   threshold.  So a chain that misses the pivot is found too; only links leave a block, and nothing is capped.
 
 Defined cases: texts without words (null, empty, punctuation only) are compared with nothing and each is
 its own class; texts of fewer than five words are one shingle; null doc_ids are not compared, and
@@ -41,8 +41,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Signatures that agree in fewer registers than this share (4 deviations below the threshold) aren't verified.
 LEAST_AGREEMENT = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Members of a bucket in one block; members that meet one copy of a pivot's text.
-BLOCK, SALT_ROWS = 1024, 2000
+#: Words of the few in one block, members that meet one copy of it, members that meet one copy of a pivot's text.
+BLOCK_WORDS, SPREAD_ROWS, SALT_ROWS = 400_000, 2048, 2000
 _U = np.uint64
 
 
@@ -144,6 +144,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), b.column(1).slice(row, n), pa.array(k1), pa.array(k2), pa.array(words.astype(np.int64)), flat, folds], ["doc_id", "tag", "k1", "k2", "words", "bands", "folded"])
 
 
+PAIRS = "u long, v long"
+
+
 def _jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets given as sorted elements and multiplicities."""
     at = np.searchsorted(a[0], b[0])
@@ -153,11 +156,16 @@ def _jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (int(a[1].sum()) + int(b[1].sum()) - both)
 
 
-VERIFIED = "u long, v long, jaccard double"
+def _verify(threshold: float):
+    """Rows (pivot, salt, member, node, text), a pivot's own text before its members', to links (u pivot, v member)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _links(batches, threshold)
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pivot, salt, member, node, text) sorted so that a pivot's own text comes before its members'."""
+    return run
+
+
+def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     key, held = None, None
     for b in batches:
         pivot, salt, member, node = (b.column(i).to_pylist() for i in range(4))
@@ -171,13 +179,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not member[i]:
                     key, held = (pivot[i], salt[i]), own
                 elif key == (pivot[i], salt[i]):
-                    out.append((pivot[i], node[i], _jaccard(held, own)))
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64()], strict=True)], ["u", "v", "jaccard"])
+                    if _jaccard(held, own) >= threshold - 1e-12:
+                        out.append((pivot[i], node[i]))
+        cols = list(zip(*out, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact similarities of pairs (u pivot, v member).  nodes: node, doc_id, tag; texts: doc_id, tag, text."""
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u pivot, v member) whose exact similarity reaches the threshold.  nodes: node, doc_id, tag; texts: doc_id, tag, text."""
     spark = pairs.sparkSession
     n = partitions(spark)
     wanted = pairs.select(F.col("v").alias("node")).unionByName(pairs.select(F.col("u").alias("node"))).distinct()
@@ -186,67 +195,77 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     members = pairs.join(sizes, "u").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), F.col("v").alias("node"))
     pivots = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("u").alias("node"))
     rows = members.unionByName(pivots).join(text, "node").select("u", "salt", "member", "node", "text")
-    return rows.repartition(n, "u", "salt").sortWithinPartitions("u", "salt", "member").mapInArrow(_verify, VERIFIED)
-
-
-PAIRS = "u long, v long"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block key, side, node, component, band, bands, folded), side false (the few) before side true (all)."""
-    key, few = None, []
-    for b in batches:
-        k, side, node, comp, band = (b.column(i).to_pylist() for i in range(5))
-        bands = np.array(b.column(5).values.to_numpy()).reshape(-1, BANDS) if b.num_rows else np.zeros((0, BANDS), np.int64)
-        folded = np.frombuffer(b"".join(x.as_py() for x in b.column(6)), np.uint8).reshape(-1, REGISTERS)
-        out = []
-        i = 0
-        while i < b.num_rows:
-            j = i
-            while j < b.num_rows and k[j] == k[i] and side[j] == side[i]:
-                j += 1
-            if k[i] != key:
-                key, few = k[i], []
-            if not side[i]:
-                few.append((np.array(node[i:j]), np.array(comp[i:j]), bands[i:j], folded[i:j]))
-            elif few:
-                a = [np.concatenate(x) for x in zip(*few, strict=True)]
-                few = [tuple(a)]
-                for m in range(i, j):
-                    near = (a[3] == folded[m]).sum(1) >= LEAST_AGREEMENT * REGISTERS
-                    near &= (a[1] != comp[m]) & ((a[0] < node[m]) | ~a_side(a, node[m]))
-                    for x in np.flatnonzero(near):
-                        if int(np.flatnonzero(a[2][x] == bands[m])[0]) == band[m]:  # their first common band
-                            out.append((min(int(a[0][x]), node[m]), max(int(a[0][x]), node[m])))
-            i = j
-        out = sorted(set(out))
-        cols = list(zip(*out, strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
-
-
-def a_side(a: list[np.ndarray], node: int) -> np.ndarray:
-    """Whether the member is itself among the few, where each pair shows twice."""
-    return np.full(len(a[0]), bool((a[0] == node).any()))
-
-
-def _leftover(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs across components of a bucket that may reach the threshold, found in blocks.
-
-    buckets: band, bh, node, bands, folded, of buckets with several nodes.
+    return rows.repartition(n, "u", "salt").sortWithinPartitions("u", "salt", "member").mapInArrow(_verify(threshold), PAIRS)
+
+
+class _Merged(dict):
+    """Components merged by the links that this task has found."""
+
+    def root(self, x: int) -> int:
+        while x in self:
+            x = self[x]
+        return x
+
+
+def _blocks(threshold: float):
+    """Rows (block key, side, node, component, folded, text), side false (the few) before side true (all), to links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, few, table, merged = None, [], None, _Merged()
+        for b in batches:
+            keys, side, node, comp = (b.column(i).to_pylist() for i in range(4))
+            folded = np.frombuffer(b"".join(x.as_py() for x in b.column(4)), np.uint8).reshape(-1, REGISTERS)
+            out = []
+            for row, h, begin, words in shingled(b.column(5), SHINGLE):
+                doc, element, weight = multisets(h, begin)
+                cut = np.searchsorted(doc, np.arange(len(words) + 1))
+                for d in range(len(words)):
+                    i = row + d
+                    if keys[i] != key:
+                        key, few, table = keys[i], [], None
+                    own = element[cut[d] : cut[d + 1]], weight[cut[d] : cut[d + 1]]
+                    total = int(own[1].sum())
+                    if not side[i]:
+                        few.append((node[i], comp[i], folded[i], own, total))
+                        table = None
+                        continue
+                    if not few:
+                        continue
+                    if table is None:
+                        table = np.stack([x[2] for x in few]), np.array([x[4] for x in few])
+                    near = (table[0] == folded[i]).sum(1) >= LEAST_AGREEMENT * REGISTERS
+                    near &= (np.minimum(table[1], total) >= threshold * np.maximum(table[1], total) - 1e-9)
+                    for x in np.flatnonzero(near).tolist():
+                        other, c, _, theirs, _ = few[x]
+                        r, q = merged.root(c), merged.root(comp[i])
+                        if other != node[i] and r != q and _jaccard(theirs, own) >= threshold - 1e-12:
+                            merged[max(r, q)] = min(r, q)
+                            out.append((other, node[i]))
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
+
+    return run
+
+
+def _leftover(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
+    """Links across components among the members of a pivot, found in blocks.
+
+    pairs: u pivot, v member; nodes: node, doc_id, tag, words, folded.  Two nodes of one bucket share its pivot.
     """
-    spark = buckets.sparkSession
-    n = partitions(spark)
-    ids = buckets.select("band", "bh", "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = ids.groupBy("band", "bh", "component").count()
-    largest = parts.groupBy("band", "bh").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = ids.join(largest.select("band", "bh", F.col("top.component").alias("top"), F.col("size"), (F.col("size") - F.col("top.count")).alias("few")), ["band", "bh"])
-    sig = buckets.select("node", "bands", "folded").dropDuplicates(["node"])
-    rows = open_.join(sig, "node").withColumn("blocks", F.ceil(F.col("few") / BLOCK).cast("int")).withColumn("spread", F.ceil(F.col("size") / (16 * BLOCK)).cast("int"))
+    n = partitions(pairs.sparkSession)
+    members = pairs.select(F.col("u").alias("pivot"), F.col("v").alias("node")).unionByName(pairs.select(F.col("u").alias("pivot"), F.col("u").alias("node")).distinct())
+    ids = members.join(nodes.select("node", "words"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = ids.groupBy("pivot", "component").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    largest = parts.groupBy("pivot").agg(F.max(F.struct("n", "w", "component")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    size = largest.select("pivot", F.col("top.component").alias("top"), F.ceil((F.col("w") - F.col("top.w")) / BLOCK_WORDS).cast("int").alias("blocks"), F.ceil(F.col("n") / SPREAD_ROWS).cast("int").alias("spread"))
+    wanted = ids.select("pivot", "node", "component").join(size, "pivot")
+    own = nodes.join(wanted.select("node").distinct(), "node").join(texts, ["doc_id", "tag"]).select("node", "folded", "text").dropDuplicates(["node"])
     block, part = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("spread"))
-    key = lambda x, y: F.concat_ws("/", "band", "bh", x, y)
-    few = rows.where("component <> top").select("*", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("y")).select(key(block, F.col("y")).alias("key"), F.lit(False).alias("side"), "node", "component", "band", "bands", "folded")
-    every = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select(key(F.col("x"), part).alias("key"), F.lit(True).alias("side"), "node", "component", "band", "bands", "folded")
-    return few.unionByName(every).repartition(n, "key").sortWithinPartitions("key", "side").mapInArrow(_blocks, PAIRS).distinct()
+    key = lambda x, y: F.concat_ws("/", "pivot", x, y)
+    few = wanted.where("component <> top").select("*", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("y")).select(key(block, F.col("y")).alias("key"), F.lit(False).alias("side"), "node", "component")
+    every = wanted.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select(key(F.col("x"), part).alias("key"), F.lit(True).alias("side"), "node", "component")
+    rows = few.unionByName(every).join(own, "node").select("key", "side", "node", "component", "folded", "text")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "side").mapInArrow(_blocks(threshold), PAIRS)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -257,20 +276,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     signed = scratch.table("signed", texts.mapInArrow(_sign, SIGNED).withColumn("row", F.monotonically_increasing_id()))
     live = signed.where("words > 0 and doc_id is not null")
-    folded = scratch.table("nodes", live.groupBy("k1", "k2").agg(F.min(F.struct("row", "doc_id", "tag")).alias("x"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).select("k1", "k2", F.col("x.row").alias("node"), F.col("x.doc_id").alias("doc_id"), F.col("x.tag").alias("tag"), "least", "copies"))
-    reps = signed.join(folded.select(F.col("node").alias("row"), F.col("node")), "row").select("node", "bands", "folded")
-    bands = reps.select("node", F.posexplode("bands").alias("band", "bh"))
+    folds = scratch.table("nodes", live.groupBy("k1", "k2").agg(F.min(F.struct("row", "doc_id", "tag", "words")).alias("x"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).select("k1", "k2", "x.*", "least", "copies").withColumnRenamed("row", "node"))
+    folded = folds.join(signed.select(F.col("row").alias("node"), "folded"), "node")
+    bands = signed.join(folds.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "bh"))
     pivots = bands.groupBy("band", "bh").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("band", "bh", "u")
-    members = scratch.table("members", bands.join(pivots, ["band", "bh"]))
-    tagged = folded.select("node", "doc_id", "tag")
-    pairs = scratch.table("pairs", members.where("node <> u").select("u", F.col("node").alias("v")).distinct())
-    links = scratch.table("links", verified(pairs, tagged, texts).where(F.col("jaccard") >= threshold - 1e-12))
-    comps = components(links.select("u", "v"), scratch, "first")
-    buckets = members.select("band", "bh", "node").join(reps, "node")
-    more = scratch.table("more", _leftover(buckets, comps).join(pairs, ["u", "v"], "left_anti"))
-    later = scratch.table("later", verified(more, tagged, texts).where(F.col("jaccard") >= threshold - 1e-12))
-    comps = scratch.table("comps", components(links.select("u", "v").unionByName(later.select("u", "v")), scratch, "second"))
-    classed = folded.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tagged = folds.select("node", "doc_id", "tag")
+    pairs = scratch.table("pairs", bands.join(pivots, ["band", "bh"]).where("node <> u").select("u", F.col("node").alias("v")).distinct())
+    links = scratch.table("links", verified(pairs, tagged, texts, threshold))
+    comps = components(links, scratch, "first")
+    later = scratch.table("later", _leftover(pairs, folded, texts, comps, threshold))
+    comps = scratch.table("comps", components(links.unionByName(later), scratch, "second"))
+    classed = folds.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = classed.join(classed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "component").select("k1", "k2", "class_id", "class_size")
     out = signed.select("doc_id", "words", F.when(F.expr("words > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2").join(named, ["k1", "k2"], "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "words")
