@@ -1,4 +1,4 @@
-"""Registered queries and their SQL oracles."""
+"""All registered queries and their SQL oracles."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.plans import analysis, series, tables  # noqa: F401 - registration
+from tidewell.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
