@@ -36,17 +36,26 @@ def prune_correlated(df: DataFrame, columns: list[str], most: float = 0.95) -> l
     return [c for i, c in enumerate(columns) if not (r[i, :i] >= most).any()]
 
 
+def _inflation(r: np.ndarray) -> np.ndarray:
+    """1 / (1 - R2) of each column on the others, from a correlation matrix that may be singular."""
+    out = np.ones(len(r))
+    for i in range(len(r)):
+        o = [j for j in range(len(r)) if j != i]
+        if o:
+            out[i] = 1 / max(1 - r[i, o] @ np.linalg.pinv(r[np.ix_(o, o)]) @ r[o, i], 1e-12)
+    return out
+
+
 def vif(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Variance inflation factors: the diagonal of the inverse correlation matrix."""
-    inv = np.linalg.pinv(correlation_matrix(df, columns))
-    return dict(zip(columns, np.diag(inv).tolist(), strict=True))
+    """Variance inflation factors."""
+    return dict(zip(columns, _inflation(correlation_matrix(df, columns)).tolist(), strict=True))
 
 
 def prune_vif(df: DataFrame, columns: list[str], most: float = 10.0) -> list[str]:
     """Drops the column of greatest factor until all are within bounds; the matrix is computed once."""
     r, left = correlation_matrix(df, columns), list(range(len(columns)))
     while len(left) > 1:
-        d = np.diag(np.linalg.pinv(r[np.ix_(left, left)]))
+        d = _inflation(r[np.ix_(left, left)])
         if d.max() <= most:
             break
         left.pop(int(d.argmax()))

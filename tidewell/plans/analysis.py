@@ -32,12 +32,12 @@ def regime_distribution(spark, sf):
     return rounded(regimes.distribution(_regimes(spark, sf), keys=["symbol"]))
 
 
-@query(f"WITH RECURSIVE {REGIME}, t AS (SELECT symbol, ts, (row_number() {W})::INT - 1 AS row_index, {lag('regime')} AS from_value, regime AS to_value FROM regimes) SELECT * FROM t WHERE from_value <> to_value")
+@query(f"WITH RECURSIVE {REGIME}, tr2 AS (SELECT symbol, ts, (row_number() {W})::INT - 1 AS row_index, {lag('regime')} AS from_value, regime AS to_value FROM regimes) SELECT * FROM tr2 WHERE from_value <> to_value")
 def regime_transitions(spark, sf):
     return regimes.transitions(_regimes(spark, sf))
 
 
-@query(f"WITH RECURSIVE {REGIME}, t AS (SELECT regime AS from_value, {lag('regime', -1)} AS to_value FROM regimes), c AS (SELECT from_value, to_value, count(*) AS n FROM t WHERE to_value IS NOT NULL GROUP BY 1, 2) SELECT *, round(n / (sum(n) OVER (PARTITION BY from_value) + 1e-9::DOUBLE), 6) AS p FROM c")
+@query(f"WITH RECURSIVE {REGIME}, tr2 AS (SELECT regime AS from_value, {lag('regime', -1)} AS to_value FROM regimes), c AS (SELECT from_value, to_value, count(*) AS n FROM tr2 WHERE to_value IS NOT NULL GROUP BY 1, 2) SELECT *, round(n / (sum(n) OVER (PARTITION BY from_value) + 1e-9::DOUBLE), 6) AS p FROM c")
 def transition_matrix(spark, sf):
     return rounded(regimes.transition_matrix(_regimes(spark, sf)))
 
@@ -75,7 +75,7 @@ def cosine_to_centroid(spark, sf):
     return rounded(regimes.cosine_to_centroid(v, "embedding", "label", 16).select("vec_id", "label", "cosine"))
 
 
-@query("WITH v AS (SELECT vec_id, list_transform(embedding, x -> abs(x::DOUBLE)) AS a FROM embeddings), t AS (SELECT vec_id, a, list_sum(a) AS s FROM v) SELECT vec_id, round(-list_sum(list_transform(a, x -> CASE WHEN x > 0 THEN x / s * ln(x / s) ELSE 0 END)), 6) AS entropy FROM t")
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a FROM embeddings), t AS (SELECT vec_id, a, list_sum(a) AS s FROM v) SELECT vec_id, round(-list_sum(list_transform(a, lambda x: CASE WHEN x > 0 THEN x / s * ln(x / s) ELSE 0 END)), 6) AS entropy FROM t")
 def entropy_rows(spark, sf):
     return rounded(spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", regimes.entropy_of(F.col("embedding")).alias("entropy")))
 
@@ -95,7 +95,7 @@ def triple_barrier(spark, sf):
 
 _TAC = f"""WITH {BARS}, x AS (SELECT *, row_number() {W} AS i, CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END AS signal, {lag('open', -1)} AS e FROM bars),
 h AS (SELECT x.symbol, x.ts, arg_min(CASE WHEN (x.signal = 1 AND f.high >= x.e * (1 + 0.005::DOUBLE)) OR (x.signal = -1 AND f.low <= x.e * (1 - 0.005::DOUBLE)) THEN 1 ELSE -1 END, f.i) AS label FROM x JOIN x f ON f.symbol = x.symbol AND f.i > x.i AND f.i <= x.i + 30 WHERE (x.signal = 1 AND (f.high >= x.e * (1 + 0.005::DOUBLE) OR f.low <= x.e * (1 - 0.0025::DOUBLE))) OR (x.signal = -1 AND (f.low <= x.e * (1 - 0.005::DOUBLE) OR f.high >= x.e * (1 + 0.0025::DOUBLE))) GROUP BY 1, 2)
-SELECT x.symbol, x.ts, CASE WHEN signal <> 0 THEN coalesce(label, -1) END::INT AS tactician_label FROM x LEFT JOIN h ON h.symbol = x.symbol AND h.ts = x.ts"""
+SELECT x.symbol, x.ts, CASE WHEN signal <> 0 THEN coalesce(label, -1) END::DOUBLE AS tactician_label FROM x LEFT JOIN h ON h.symbol = x.symbol AND h.ts = x.ts"""
 
 
 def _signal(df):
@@ -104,7 +104,7 @@ def _signal(df):
 
 @query(_TAC)
 def tactician_barrier(spark, sf):
-    return L.tactician_barrier(_signal(hourly(spark, sf))).select(*K, "tactician_label")
+    return L.tactician_barrier(_signal(hourly(spark, sf))).select(*K, F.col("tactician_label").cast("double").alias("tactician_label"))
 
 
 @query(f"WITH {BARS}, t AS (SELECT *, coalesce({div(lag('close', -5), 'close')} - 1, 0) AS r FROM bars) SELECT symbol, ts, round(r, 6) AS target_return, sign(r)::INT AS target_direction, coalesce(({lag('close', -1)} > close)::INT, 0) AS next_up, CASE WHEN {lag('close', -5)} / close - 1 > 0.01 THEN 1 WHEN {lag('close', -5)} / close - 1 < -0.01 THEN -1 ELSE 0 END AS target_class FROM t")
@@ -113,12 +113,12 @@ def direction_target(spark, sf):
 
 
 _QC = steps(BARS, {"r": f"{div('close', lag('close'))} - 1"}, {"v": R("stddev_samp", "r", 20, 2), "q": div("volume", R("avg", "volume", 20, 1)), "t": f"{R('avg', 'close', 10, 1)} - {R('avg', 'close', 30, 1)}"})
-_qb = lambda c: f"CASE WHEN {c} IS NOT NULL THEN len(list_filter(list_distinct(e{c}), z -> z < {c}))::INT END"
+_qb = lambda c: f"CASE WHEN {c} IS NOT NULL THEN len(list_filter(list_distinct(e{c}), lambda z: z < {c}))::DOUBLE END"
 
 
 @query(f"WITH {_QC}, e AS (SELECT symbol, {', '.join(f'quantile_cont({c}, [0.2, 0.4, 0.6, 0.8]) AS e{c}' for c in 'vqt')} FROM s2 GROUP BY 1) SELECT symbol, ts, {_qb('v')} AS volatility_bin, {_qb('q')} AS volume_bin, {_qb('t')} AS trend_bin FROM s2 JOIN e USING (symbol)")
 def qcut_regimes(spark, sf):
-    return L.quantile_meta_labels(hourly(spark, sf)).select(*K, "volatility_bin", "volume_bin", "trend_bin")
+    return L.quantile_meta_labels(hourly(spark, sf)).select(*K, *[F.col(c).cast("double").alias(c) for c in ("volatility_bin", "volume_bin", "trend_bin")])
 
 
 _ML = "(%s)"
@@ -128,7 +128,7 @@ _near = lambda p, w, strict=False: f"coalesce(abs(close - {p}) / nullif({p}, 0)
 _META = f"{BARS}, {_MC}, m0 AS (SELECT b.*, r.f - r.s - r.g AS mh FROM bars b JOIN r ON r.symbol = b.symbol AND r.ts = b.ts), " + steps(
     "z0 AS (SELECT 1)",
     {"d": f"close - {lag('close')}", "r1": f"{div('close', lag('close'))} - 1", "tr": TR, "sma": R("avg", "close", 20, 1), "sd": R("stddev_samp", "close", 20, 2), "rh": R("max", "close", 20, 1), "rl": R("min", "close", 20, 1), "hl": "high - low", "c5": f"{div('close', lag('close', 5))} - 1", "c3": f"{div('close', lag('close', 3))} - 1", "nx": lag("close", -1), "oc": "abs(close - open) / open", "hc": "(high - low) / close", "um": f"high - {lag('high')}", "dm": f"{lag('low')} - low", "h50": R("max", "high", 50, 5), "l50": R("min", "low", 50, 5), "v50": R("max", "volume", 50, 5), "vm50": R("avg", "volume", 50, 10), "vr": f"coalesce({div('volume', R('avg', 'volume', 10, 1))}, 1)"},
-    {"gg": "CASE WHEN d > 0 THEN d ELSE 0 END", "ll": "CASE WHEN d < 0 THEN -d ELSE 0 END", "bp": "coalesce(least(greatest((close - (sma - 2 * sd)) / nullif(4 * sd, 0), 0), 1), 0.5)", "bw": "CASE WHEN sd <> 0 THEN 4 * sd / nullif(sma, 0) END", "m5": f"coalesce({R('sum', 'r1', 5, 1)}, 0)", "m10": f"coalesce({R('sum', 'r1', 10, 1)}, 0)", "v20": f"coalesce({R('stddev_samp', 'r1', 20, 2)}, 0)", "v10": f"coalesce({R('stddev_samp', 'r1', 10, 2)}, 0)", "sg": "sign(d)", "ph": lag("rh"), "pl": lag("rl"), "pdm": "CASE WHEN um > dm AND um > 0 THEN um ELSE 0 END", "mdm": "CASE WHEN dm > um AND dm > 0 THEN dm ELSE 0 END", "p5": lag("c5"), "dr": f"c5 - {lag('c5')}", "dn": "coalesce((d < 0)::INT, 0)", "upn": "coalesce((d > 0)::INT, 0)", "low5": "coalesce((volume < 0.8 * vm50)::INT, 0)", "ph50": lag("h50"), "pl50": lag("l50"), "pv50": lag("v50"), "lo5": f"min(nx) {over(4)}", "hi5": f"max(nx) {over(4)}"},
+    {"gg": "CASE WHEN d > 0 THEN d ELSE 0 END", "ll": "CASE WHEN d < 0 THEN -d ELSE 0 END", "bp": "CASE WHEN sd <> 0 THEN least(greatest((close - (sma - 2 * sd)) / (4 * sd), 0), 1) ELSE 0.5 END", "bw": "CASE WHEN sd <> 0 THEN 4 * sd / nullif(sma, 0) END", "m5": f"coalesce({R('sum', 'r1', 5, 1)}, 0)", "m10": f"coalesce({R('sum', 'r1', 10, 1)}, 0)", "v20": f"coalesce({R('stddev_samp', 'r1', 20, 2)}, 0)", "v10": f"coalesce({R('stddev_samp', 'r1', 10, 2)}, 0)", "sg": "sign(d)", "ph": lag("rh"), "pl": lag("rl"), "pdm": "CASE WHEN um > dm AND um > 0 THEN um ELSE 0 END", "mdm": "CASE WHEN dm > um AND dm > 0 THEN dm ELSE 0 END", "p5": lag("c5"), "dr": f"c5 - {lag('c5')}", "dn": "coalesce((d < 0)::INT, 0)", "upn": "coalesce((d > 0)::INT, 0)", "low5": "coalesce((volume < 0.8 * vm50)::INT, 0)", "ph50": lag("h50"), "pl50": lag("l50"), "pv50": lag("v50"), "lo5": f"min(nx) {over(4)}", "hi5": f"max(nx) {over(4)}"},
     {"rsi": f"coalesce(100 - 100 / (1 + {R('avg', 'gg', 14, 1)} / nullif({R('avg', 'll', 14, 1)}, 0)), 50)", "ratio": "coalesce(v10 / nullif(v20, 0), 1)", "bw0": "coalesce(bw, 0)", "am5": "abs(m5)", "n1": _near("ph", 0.0005) + "::INT", "n2": _near("pl", 0.0005) + "::INT", "dm5": f"m5 - {lag('m5')}", "turn": f"coalesce((abs(sg - {lag('sg')}) > 0)::INT, 0)", "a20": R("avg", "tr", 20, 5), "a100": R("avg", "tr", 100, 10), "a14": R("avg", "tr", 14, 5), "bf": "((bp > 0.8 OR bp < 0.2) AND abs(m5) < 0.005)::INT", "drp": lag("dr")},
     {"t1": R("quantile_cont({x}, 0.6)", "v20", 30, 10), "t2": R("quantile_cont({x}, 0.6)", "am5", 30, 10), "t3": R("quantile_cont({x}, 0.6)", "vr", 30, 10), "pdi": f"100 * {R('avg', 'pdm', 14, 5)} / nullif(a14, 0)", "mdi": f"100 * {R('avg', 'mdm', 14, 5)} / nullif(a14, 0)", "fa20": f"coalesce(last_value(a20 IGNORE NULLS) {over(None)}, 0)", "bwm": R("avg", "bw0", 100, 20), "bw5": lag("bw0", 5)},
     {"dx": "100 * abs(pdi - mdi) / nullif(pdi + mdi, 0)", "tv": "coalesce(last_value(t1) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.02)", "tm": "coalesce(last_value(t2) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.01)", "tq": "coalesce(last_value(t3) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 1.5)", "fa100": f"coalesce(last_value(a100 IGNORE NULLS) {over(None)}, fa20)", "fbwm": f"coalesce(last_value(bwm IGNORE NULLS) {over(None)}, bw0)"},
@@ -183,10 +183,10 @@ def event_nms(spark, sf):
 
 
 @query(f"""WITH {_EDGE}, w AS (SELECT *, list(close) {over(60, -1)} AS pre, list(close) {over(-1, 20)} AS post FROM sc), x AS (SELECT ed.symbol, ed.row_index, ed.event_label, close, pre, post FROM ed JOIN w ON w.symbol = ed.symbol AND w.row_index = ed.row_index WHERE len(pre) = 60 AND len(post) = 20)
-SELECT symbol, row_index, event_label, round(list_avg(pre), 6) AS pre_mean, round(post[20] / close - 1, 6) AS end_return, list_min(list_transform(range(1, 21), i -> CASE WHEN post[i] / close - 1 >= 0.1 THEN i END))::INT AS bars_to_profit FROM x""")
+SELECT symbol, row_index, event_label, round(list_avg(pre), 6) AS pre_mean, round(post[20] / close - 1, 6) AS end_return, list_min(list_transform(range(1, 21), lambda i: CASE WHEN post[i] / close - 1 >= 0.1 THEN i END))::DOUBLE AS bars_to_profit FROM x""")
 def event_windows(spark, sf):
     x = V.windows(_scores(spark, sf), V.triggers(_scores(spark, sf), _TH), ["close"], profit=0.1)
-    return rounded(x.select("symbol", "row_index", "event_label", F.col("pooled")["close_mean"].alias("pre_mean"), F.element_at("path_returns", 20).alias("end_return"), "bars_to_profit"))
+    return rounded(x.select("symbol", "row_index", "event_label", F.col("pooled")["close_mean"].alias("pre_mean"), F.element_at("path_returns", 20).alias("end_return"), F.col("bars_to_profit").cast("double").alias("bars_to_profit")))
 
 
 @query(f"WITH {_EDGE} SELECT symbol, event_label, row_index FROM ed QUALIFY row_number() OVER (PARTITION BY symbol, event_label ORDER BY row_index) <= 5")
@@ -217,7 +217,7 @@ def fractal_pivots(spark, sf):
 _PV = steps(BARS, {"h": f"max(high) {over(24, -1)}", "l": f"min(low) {over(24, -1)}", "c": f"last_value(close) {over(24, -1)}", "v": f"list(close) {over(24, -1)}"}, {"p": "(h + l + c) / 3"}, {"r1": "2 * p - l", "s1": "2 * p - h"})
 
 
-@query(f"WITH {_PV} SELECT symbol, ts, round(p, 6) AS pivot, round(r1, 6) AS r1, round(s1, 6) AS s1, round(p + h - l, 6) AS r2, round(p - h + l, 6) AS s2, coalesce(len(list_filter(v, x -> abs(x - r1) <= 0.005 * abs(r1))), 0)::INT AS r1_touches, coalesce(len(list_filter(v, x -> abs(x - s1) <= 0.005 * abs(s1))), 0)::INT AS s1_touches FROM s3")
+@query(f"WITH {_PV} SELECT symbol, ts, round(p, 6) AS pivot, round(r1, 6) AS r1, round(s1, 6) AS s1, round(p + h - l, 6) AS r2, round(p - h + l, 6) AS s2, coalesce(len(list_filter(v, lambda x: abs(x - r1) <= 0.005 * abs(r1))), 0)::INT AS r1_touches, coalesce(len(list_filter(v, lambda x: abs(x - s1) <= 0.005 * abs(s1))), 0)::INT AS s1_touches FROM s3")
 def pivot_levels(spark, sf):
     return out(profile.pivot_levels(hourly(spark, sf)), "pivot", "r1", "s1", "r2", "s2", "r1_touches", "s1_touches")
 
@@ -225,7 +225,7 @@ def pivot_levels(spark, sf):
 _TL = f"{BARS}, b2 AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 2000), lv AS (SELECT symbol, quantile_cont(low, [0.05, 0.15, 0.30]) AS sup, quantile_cont(high, [0.70, 0.85, 0.95]) AS res FROM b2 GROUP BY 1)"
 
 
-@query(f"WITH {_TL}, d AS (SELECT b.symbol, b.ts, list_min(list_transform(sup, x -> abs(x - close))) / close AS s, list_min(list_transform(res, x -> abs(x - close))) / close AS r FROM bars b JOIN lv USING (symbol)) SELECT symbol, ts, round(s, 6) AS support_distance, round(r, 6) AS resistance_distance, round(least(s, r), 6) AS sr_distance, round(exp(-least(s, r) / 0.01::DOUBLE), 6) AS sr_proximity, (least(s, r) <= 0.02)::INT AS sr_nearby FROM d")
+@query(f"WITH {_TL}, d AS (SELECT b.symbol, b.ts, list_min(list_transform(sup, lambda x: abs(x - close))) / close AS s, list_min(list_transform(res, lambda x: abs(x - close))) / close AS r FROM bars b JOIN lv USING (symbol)) SELECT symbol, ts, round(s, 6) AS support_distance, round(r, 6) AS resistance_distance, round(least(s, r), 6) AS sr_distance, round(exp(-least(s, r) / 0.01::DOUBLE), 6) AS sr_proximity, (least(s, r) <= 0.02)::INT AS sr_nearby FROM d")
 def sr_distance(spark, sf):
     x = hourly(spark, sf)
     return out(profile.sr_distance(x, profile.tail_levels(x)), "support_distance", "resistance_distance", "sr_distance", "sr_proximity", "sr_nearby")

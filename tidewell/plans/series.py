@@ -152,9 +152,9 @@ def null_gap_ranges(spark, sf):
 
 
 @query(f"""WITH {steps(BARS, {"s": f"sign(close - {lag('close')})::INT"}, {"c": f"(CASE WHEN s IS DISTINCT FROM {lag('s')} OR row_number() {W} = 1 THEN 1 ELSE 0 END)"}, {"run": f"sum(c) {over(None)}"})}
-SELECT symbol, run::BIGINT AS run, s, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows FROM s3 GROUP BY symbol, run, s""")
+SELECT symbol, run::BIGINT AS run, s::DOUBLE AS s, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows FROM s3 GROUP BY symbol, run, s""")
 def run_lengths(spark, sf):
-    return clean.runs(hourly(spark, sf).withColumn("s", F.signum(E.diff("close")).cast("int")), "s")
+    return clean.runs(hourly(spark, sf).withColumn("s", F.signum(E.diff("close"))), "s")
 
 
 # rolling primitives
@@ -182,7 +182,7 @@ def rolling_quantile(spark, sf):
     return rounded(hourly(spark, sf).select(*K, E.quantile("close", 0.6, 30, 10).alias("q60")))
 
 
-@query(f"WITH {steps(BARS, {'a': f'list(close) {over(99)}'})} SELECT symbol, ts, CASE WHEN len(a) >= 20 THEN round((len(list_filter(a, v -> v < close)) + (len(list_filter(a, v -> v = close)) + 1) / 2.0) / len(a), 6) END AS pct_rank FROM s1")
+@query(f"WITH {steps(BARS, {'a': f'list(close) {over(99)}'})} SELECT symbol, ts, CASE WHEN len(a) >= 20 THEN round((len(list_filter(a, lambda v: v < close)) + (len(list_filter(a, lambda v: v = close)) + 1) / 2.0) / len(a), 6) END AS pct_rank FROM s1")
 def rolling_rank_pct(spark, sf):
     return rounded(hourly(spark, sf).select(*K, E.rolling_rank_pct("close", 100, 20).alias("pct_rank")))
 
@@ -300,7 +300,7 @@ def williams_r(spark, sf):
     return out(I.williams_r(hourly(spark, sf)), "willr")
 
 
-@query(f"WITH {steps(BARS, {'t': '(high + low + close) / 3'}, {'m': R('avg', 't', 20), 'v': f'list(t) {over(19)}'})} SELECT symbol, ts, round({div('t - m', '0.015::DOUBLE * list_sum(list_transform(v, x -> abs(x - m))) / 20')}, 6) AS cci FROM s2")
+@query(f"WITH {steps(BARS, {'t': '(high + low + close) / 3'}, {'m': R('avg', 't', 20), 'v': f'list(t) {over(19)}'})} SELECT symbol, ts, round({div('t - m', '0.015::DOUBLE * list_sum(list_transform(v, lambda x: abs(x - m))) / 20')}, 6) AS cci FROM s2")
 def cci(spark, sf):
     return out(I.cci(hourly(spark, sf)), "cci")
 

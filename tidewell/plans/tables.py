@@ -26,16 +26,16 @@ def dedup_composite_keep_first(spark, sf):
     return clean.keep_one(l, ["l_orderkey", "l_linenumber"], ["l_partkey"], last=False)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_join_new_rows(spark, sf):
-    return clean.new_rows(table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return clean.new_rows(table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) SELECT x::DATE AS day FROM (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 day)) AS x FROM d) WHERE x::DATE NOT IN (SELECT day FROM d)")
+@query("WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders) SELECT strftime(x, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 day)) AS x FROM d) WHERE x::DATE NOT IN (SELECT day FROM d)")
 def dates_missing(spark, sf):
     have = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day"))
     want = have.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
-    return datasets.missing_dates(have, want)
+    return datasets.missing_dates(have, want).select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END, 0) AS price, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END, '') AS priority FROM orders")
@@ -63,12 +63,12 @@ def schema_enforced(spark, sf):
     return schemas.enforce(o, "klines")
 
 
-@query("SELECT o_custkey, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_f, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS \"F\", round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS \"O\", round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 4) AS \"P\" FROM orders GROUP BY 1")
+@query("SELECT o_custkey, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS n_f, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 7) AS \"F\", round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 7) AS \"O\", round(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 7) AS \"P\" FROM orders GROUP BY 1")
 def pivot_long_wide(spark, sf):
     o = table(spark, sf, "orders")
     wide = datasets.pivot_fields(o, "o_custkey", "o_orderstatus", "o_totalprice", ["F", "O", "P"])
     n = o.groupBy("o_custkey").agg(F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("n_f"))
-    return rounded(n.join(wide, "o_custkey"), 4)
+    return rounded(n.join(wide, "o_custkey"), 7)
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")

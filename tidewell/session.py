@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(name: str = "tidewell", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; anything else is left to the cluster."""
@@ -13,3 +20,18 @@ def session(name: str = "tidewell", master: str | None = None, **conf: str) -> S
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless their search path has it already."""
+    root = Path(__file__).resolve().parent.parent
+    on_path = {os.path.realpath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x} | {os.getcwd()}
+    context = spark.sparkContext
+    if str(root) in on_path or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="tidewell-")) / "tidewell.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "tidewell").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(path))

@@ -64,7 +64,7 @@ def first_available(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def partitions(spark: SparkSession, base: str, keys: list[str]) -> DataFrame:
     """Distinct partition values with files and rows (from metadata, one pass over no column)."""
-    return spark.read.parquet(base).groupBy(*keys).agg(F.count_distinct(F.input_file_name()).alias("files"), F.count("*").alias("rows"))
+    return spark.read.parquet(base).select(*keys, F.col("_metadata.file_path").alias("_p")).groupBy(*keys).agg(F.count_distinct("_p").alias("files"), F.count("*").alias("rows"))
 
 
 def size_estimate(spark: SparkSession, base: str) -> DataFrame:
@@ -96,7 +96,8 @@ def append(df: DataFrame, path: str) -> None:
 
 def manifest(spark: SparkSession, base: str) -> dict:
     """File count, rows, first and latest timestamp over all files; written as JSON beside the data, hidden from scans."""
-    r = spark.read.parquet(base).agg(F.count_distinct(F.input_file_name()).alias("files"), F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("latest")).first()
+    x = spark.read.parquet(base)
+    r = x.select(F.col("_metadata.file_path").alias("_p"), "timestamp").agg(F.count_distinct("_p").alias("files"), F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("latest")).first()
     out = {"file_count": r.files, "rows": r.rows, "first_timestamp": r.first, "latest_timestamp": r.latest}
     spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/_manifest")
     return out
