@@ -1,7 +1,7 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their openings of four and five letters; the vocabulary holds the terms whose presence
-depends on the label (log-likelihood ratio of document counts in the sample).  A query's upper bound
+clearly depends on the label (log-likelihood ratio of document counts in the sample, and lift).  A query's upper bound
 for a block of examples is the sum of its weights times the block's greatest weight of each term; blocks are taken
 from the highest bound down until no bound can beat the k-th best, so the neighbours are exact.  Their
 votes, weighted by similarity, are drawn towards the base rate, so that few or distant neighbours say little.
@@ -17,7 +17,9 @@ doc_ids and repeated rows are scored and kept; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,9 +32,9 @@ from tidewell.llm._shared import bound_batches
 from tidewell.llm._text import shingled
 from tidewell.llm.quality import remainder
 
-#: Most labelled examples of each label; most terms; least log-likelihood ratio of a term.
-SAMPLE, TERMS, LEAST_RATIO = 4000, 4096, 18.0
-NEAREST, PULL, BLOCK = 16, 0.5, 64
+#: Most labelled examples of each label; most terms; how many times as often one label must show a term.
+SAMPLE, TERMS, LEAST_LIFT = 4000, 4096, 3.0
+NEAREST, PULL, BLOCK, FIRST = 16, 0.5, 64, 8
 _WORD = re.compile(r"\w+")
 _CACHE = 300_000
 
@@ -95,28 +97,37 @@ class BlockMaxIndex:
         for t, x in zip(at.tolist(), w.tolist(), strict=True):
             block, top, _ = self.bounds[t]
             bound[block] += x * top
-        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-bound, kind="stable")
-        i, step = 0, 4
-        while i < len(order):
-            take = order[i : i + step]
-            take = take[bound[take] > 0]
-            if not len(take) or len(best) >= k and bound[take[0]] < best[k - 1] - 1e-12:
-                break
-            seen = np.zeros(self.blocks, bool)
-            seen[take] = True
-            score = np.zeros(len(self.ids))
-            for t, x in zip(at.tolist(), w.tolist(), strict=True):
-                block, _, cut = self.bounds[t]
-                for j in np.flatnonzero(seen[block]).tolist():
-                    own = slice(cut[j], cut[j + 1])
-                    score[self.row[own]] += x * self.weight[own]
-            rows = np.flatnonzero(score > 0)
-            best_rows, best = np.concatenate([best_rows, rows]), np.concatenate([best, score[rows]])
-            keep = np.lexsort((self.ids[best_rows], -np.round(best, 12)))[:k]
-            best_rows, best = best_rows[keep], best[keep]
-            i, step = i + step, step * 2
-        return best_rows, best
+        order = order[bound[order] > 0]
+        first, rest = order[:FIRST], order[FIRST:]
+        rows, best = self._best(first, at, w, np.zeros(0, np.int64), np.zeros(0), k)
+        if len(best) >= k:  # no example of a block below this bound can be among the nearest
+            rest = rest[bound[rest] >= best[k - 1] - 1e-12]
+        return self._best(rest, at, w, rows, best, k) if len(rest) else (rows, best)
+
+    def _best(self, take: np.ndarray, at: np.ndarray, w: np.ndarray, rows: np.ndarray, best: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of those at hand and all examples of the given blocks."""
+        seen = np.zeros(self.blocks, bool)
+        seen[take] = True
+        most = 4 * len(take) > self.blocks
+        score = np.zeros(self.blocks * BLOCK)
+        for t, x in zip(at.tolist(), w.tolist(), strict=True):
+            if most:
+                own = slice(self.begin[t], self.begin[t + 1])
+                score[self.row[own]] += x * self.weight[own]
+                continue
+            block, _, cut = self.bounds[t]
+            for j in np.flatnonzero(seen[block]).tolist():
+                own = slice(cut[j], cut[j + 1])
+                score[self.row[own]] += x * self.weight[own]
+        if most:
+            score.reshape(-1, BLOCK)[~seen] = 0
+        found = np.flatnonzero(score > 0)
+        if len(found) > 4 * k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k] - 1e-12]
+        rows, best = np.concatenate([rows, found]), np.concatenate([best, score[found]])
+        keep = np.lexsort((self.ids[rows], -np.round(best, 12)))[:k]
+        return rows[keep], best[keep]
 
     def vote(self, rows: np.ndarray, similarity: np.ndarray) -> float:
         """Votes weighted by squared similarity, with PULL votes at the base rate."""
@@ -142,6 +153,39 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(list(seen[label]), pa.string()), pa.array([label] * len(seen[label]), pa.int32()), pa.array(list(seen[label].values()), pa.int64())], ["term", "label", "n"])
 
 
+def _contexts(terms: set[str]):
+    """(term, label, hash of the words before and after) for every occurrence of the given terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
+        for b in batches:
+            out = []
+            for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = ["", *_WORD.findall((text.as_py() or "").lower()), ""]
+                for i in range(1, len(words) - 1):
+                    w = words[i]
+                    if w not in known:
+                        known[w] = tuple(x for x in terms_of(w) if x in terms)
+                    for x in known[w]:
+                        out.append((x, label, zlib.crc32(f"{words[i - 1]} {words[i + 1]}".encode())))
+            if len(known) > _CACHE:
+                known.clear()
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["term", "label", "context"])
+
+    return run
+
+
+def _telling(counts: DataFrame, t: int, c: int, least: float) -> DataFrame:
+    """Terms (a toxic documents of t, b others of c) that depend on the label, with their log-likelihood ratio."""
+    part = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
+    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(c + t)
+    have = a + b
+    ratio = 2 * (part(a, have * t / n) + part(b, have * c / n) + part(t - a, (n - have) * t / n) + part(c - b, (n - have) * c / n))
+    lift = (a + 0.5) / (t + 1) / ((b + 0.5) / (c + 1))
+    return counts.withColumn("ratio", ratio).where((F.col("ratio") >= least) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT)))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fold: int = 3, held: int = 1, sample: int = SAMPLE, terms: int = TERMS) -> BlockMaxIndex:
     """An index of labelled examples outside the held-out fold, ``sample`` of each label at most."""
     spark = docs.sparkSession
@@ -160,12 +204,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", f
     if not c or not t:
         rows.unpersist()
         return BlockMaxIndex({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), [], float(base))
-    counts = rows.select("label", "text").mapInArrow(_document_counts, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")).where("a + b >= 3")
-    part = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(c + t)
-    have = a + b
-    ratio = 2 * (part(a, have * t / n) + part(b, have * c / n) + part(t - a, (n - have) * t / n) + part(c - b, (n - have) * c / n))
-    picked = counts.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(terms).collect()
+    counts = rows.select("label", "text").mapInArrow(_document_counts, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b")).where("a + b >= 3").persist()
+    least = 2 * math.log(max(counts.count(), 1)) + 2  # of that many terms about one in twenty samples has one by chance
+    first = _telling(counts, t, c, least).orderBy(F.desc("ratio"), "term").limit(terms).collect()
+    # near copies repeat a term in one context: the effective number of contexts (inverse Simpson) bounds the documents
+    seen = rows.select("label", "text").mapInArrow(_contexts({r.term for r in first}), "term string, label int, context long").groupBy("term", "label", "context").agg(F.count("*").cast("double").alias("n"))
+    spread = lambda label: F.coalesce(F.floor(F.pow(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(2.0)) / F.sum(F.when(F.col("label") == label, F.col("n") * F.col("n")))), F.lit(0)).cast("long")
+    contexts = seen.groupBy("term").agg(spread(1).alias("u"), spread(0).alias("v"))
+    plain = spark.createDataFrame([(r.term, r.a, r.b) for r in first], "term string, a long, b long")
+    apart = plain.join(contexts, "term").select("term", F.least("a", "u").alias("a"), F.least("b", "v").alias("b"))
+    picked, n = _telling(apart, t, c, least).orderBy(F.desc("ratio"), "term").collect(), float(c + t)
+    counts.unpersist()
     vocabulary = {r.term: i for i, r in enumerate(picked)}
     idf = np.array([np.log(1 + n / (r.a + r.b)) for r in picked])
 
