@@ -24,8 +24,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm._shared import Scratch
+
 #: Rows of a slot, about.
-SLOT_ROWS = 20_000
+SLOT_ROWS = 2000
 
 
 def water_fill(budget: int, capacity: dict, weight: dict) -> dict:
@@ -82,6 +84,7 @@ def mix(docs: DataFrame, levels: list[str], budget: float, weight: Callable[[tup
     budget: tokens, or a share of all tokens if below 1 or a float up to ``max_epochs``.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "mix")
     own = docs.withColumn("mix_tokens", tokens if tokens is not None else word_tokens(F.col("text"))).withColumn("mix_path", F.array(*[F.col(c).cast("string") for c in levels]))
     leaves = own.groupBy("mix_path").agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n")).collect()  # a row per leaf
     sizes = {tuple(r.mix_path): int(r.t) for r in leaves}
@@ -94,17 +97,22 @@ def mix(docs: DataFrame, levels: list[str], budget: float, weight: Callable[[tup
         slots = -(-rows[path] // SLOT_ROWS)
         plan += [(list(path), e, slots, given[path], -1 if e < whole else given[path] - whole * tokens_) for e in range(min(whole + 1, max_epochs))]
     plan_df = spark.createDataFrame(plan, "mix_path array<string>, mix_epoch int, slots int, mix_budget long, rest long")
-    if len(plan) <= 20_000:  # a leaf's row takes about 100 bytes
-        plan_df = F.broadcast(plan_df)
     place = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("mix_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text"))))
-    wide = own.withColumnRenamed("mix_path", "mix_own").join(plan_df, F.col("mix_own").eqNullSafe(F.col("mix_path"))).drop("mix_own")
-    wide = wide.withColumn("mix_place", place).withColumn("mix_slot", F.floor(F.conv(F.substring("mix_place", 1, 12), 16, 10).cast("long") * F.col("slots") / F.lit(float(1 << 48))).cast("int"))
-    key = ["mix_path", "mix_epoch", "mix_slot"]
-    sums = wide.where("rest >= 0").groupBy(*key, "rest").agg(F.sum("mix_tokens").alias("sum"))
-    through = Window.partitionBy("mix_path", "mix_epoch").orderBy("mix_slot")  # rows per slot, not per document
-    ends = sums.withColumn("to", F.sum("sum").over(through)).withColumn("from", F.col("to") - F.col("sum")).where("`from` <= rest").select(*key, (F.col("rest") - F.col("from")).alias("mix_room"), (F.col("to") <= F.col("rest")).alias("mix_all"))
-    partial = wide.where("rest >= 0").join(ends, key)
-    inside = Window.partitionBy(*key).orderBy("mix_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = partial.where("not mix_all").withColumn("mix_upto", F.sum("mix_tokens").over(inside)).where("mix_upto <= mix_room")
+
+    def spread(by_leaf: DataFrame) -> DataFrame:
+        """Every row once per epoch of its leaf, with its place and slot there."""
+        by_leaf = F.broadcast(by_leaf) if len(plan) <= 20_000 else by_leaf  # a leaf's row takes about 100 bytes
+        x = own.withColumnRenamed("mix_path", "mix_own").join(by_leaf, F.col("mix_own").eqNullSafe(F.col("mix_path"))).drop("mix_own").withColumn("mix_place", place)
+        return x.withColumn("mix_slot", F.floor(F.conv(F.substring("mix_place", 1, 12), 16, 10).cast("long") * F.col("slots") / F.lit(float(1 << 48))).cast("int"))
+
+    wide = spread(plan_df)
+    key = ["mix_path", "mix_epoch"]
+    sums = scratch.table("sums", wide.where("rest >= 0").groupBy(*key, "mix_slot", "rest").agg(F.sum("mix_tokens").alias("sum")))
+    through = Window.partitionBy(*key).orderBy("mix_slot")  # rows per slot, not per document
+    ends = sums.withColumn("to", F.sum("sum").over(through)).where("to > rest and to - sum <= rest").groupBy(*key).agg(F.min(F.struct("mix_slot", (F.col("rest") - F.col("to") + F.col("sum")).alias("room"))).alias("x"))
+    cuts = scratch.table("cuts", plan_df.join(ends, key, "left").select(*key, "slots", "mix_budget", F.coalesce("x.mix_slot", "slots").alias("cut"), F.coalesce("x.room", F.lit(0)).alias("mix_room")))
+    placed = spread(cuts)
+    inside = Window.partitionBy(*key).orderBy("mix_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # of one slot
+    last = placed.where("mix_slot = cut").withColumn("mix_upto", F.sum("mix_tokens").over(inside)).where("mix_upto <= mix_room")
     out = [*docs.columns, "mix_epoch", "mix_tokens", "mix_budget"]
-    return wide.where("rest < 0").select(*out).unionByName(partial.where("mix_all").select(*out)).unionByName(cut.select(*out))
+    return placed.where("mix_slot < cut").select(*out).unionByName(last.select(*out))
