@@ -43,6 +43,9 @@ NAMES = {
 }
 #: Names that mark the article; a container so named is kept even if another of its names is in NAMES.
 GOOD = {"article", "post", "entry", "story", "content", "main", "body", "text", "prose"}
+#: Names that stay unwanted beside a good one, and openings of names that say what a container has.
+PLAIN_BAD = {"ad", "ads", "advert", "comment", "comments", "sidebar", "footer", "header", "nav", "menu", "form", "cookie", "notice", "related"}
+STATES = {"has", "with", "no", "not", "without", "is", "js"}
 KEEP = {"article", "main", "body", "html"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PIECE = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
@@ -63,9 +66,12 @@ def _unwanted(name: str, tag: str) -> bool:
         if key == "role" and value.lower() in ROLES:
             return True
         if key in ("class", "id") and name not in KEEP:
-            words = {w.lower() for w in _PIECE.findall(value)}
-            if words & NAMES and not (words & GOOD and not words & {"ad", "ads", "advert", "comment", "comments", "sidebar", "footer", "header", "nav", "menu", "form", "cookie", "notice", "related"}):
-                return True
+            for token in value.split():
+                words = [w.lower() for w in _PIECE.findall(token)]
+                if not words or words[0] in STATES:
+                    continue
+                if NAMES.intersection(words) and not (GOOD.intersection(words) and not PLAIN_BAD.intersection(words)):
+                    return True
     return False
 
 
@@ -84,7 +90,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # name, unwanted, number
     parts: list[str] = []
-    linked = link = number = unwanted = 0
+    linked = link = number = unwanted = titled = 0
     at = 0
 
     def flush() -> None:
@@ -95,15 +101,16 @@ def blocks(page: str) -> list[Block]:
                 names = [x[0] for x in stack]
                 kind = "heading" if HEADINGS.intersection(names[-3:]) else "item" if "li" in names[-4:] else "table" if "td" in names[-4:] or "th" in names[-4:] else "text"
                 frame = tuple(x[2] for x in stack if x[0] not in INLINE and x[0] not in ("p", "li", "ul", "ol", "blockquote", "table", "tbody", "thead", "tr", "td", "th", "pre", "figure", "figcaption", "dl", "dt", "dd") and x[0] not in HEADINGS)
-                out.append(Block(text, linked, kind, frame, unwanted > 0))
+                out.append(Block(text, linked, kind, frame, unwanted > (titled if kind == "heading" else 0)))
             parts.clear()
         linked = 0
 
     def close(to: int) -> None:
-        nonlocal unwanted, link
+        nonlocal unwanted, link, titled
         while len(stack) > to:
             name, bad, _ = stack.pop()
             unwanted -= bad
+            titled -= name == "header" and any(x[0] == "article" for x in stack)
             link -= name == "a"
 
     while at < len(page):
@@ -155,6 +162,7 @@ def blocks(page: str) -> list[Block]:
                     break
         bad = _unwanted(name, token)
         number += 1
+        titled += name == "header" and any(x[0] == "article" for x in stack)  # an article's own header holds its title
         stack.append((name, bad, number))
         unwanted += bad
         link += name == "a"
