@@ -254,10 +254,16 @@ def test_block_max_search_is_exact():
 # sentence spans
 
 
-def naive_dedup(rows, sentences=2, least=20):
+def pieces(sentence, long=30, piece=20):
+    at = [m.start() for m in WORD.finditer(sentence)]
+    cuts = [0, *(at[piece : len(at) : piece] if len(at) > long else []), len(sentence)]
+    return [sentence[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def naive_dedup(rows, sentences=2, least=25):
     cut = {}
     for i, t in rows:
-        cut[i] = [x for x in re.findall(r".+?(?:(?<=[.!?])[ \t\r\n\v\f]+|[ \t\r\v\f]*\n[ \t\r\n\v\f]*|\Z)", t, re.S) if x]
+        cut[i] = [p for x in re.findall(r".+?(?:(?<=[.!?])[ \t\r\n\v\f]+|[ \t\r\v\f]*\n[ \t\r\n\v\f]*|\Z)", t, re.S) if x for p in pieces(x)]
     spans_of, first = {}, {}
     for i, ss in sorted(cut.items()):
         for a in range(len(ss)):

@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-Sentences end at ``.``, ``!`` or ``?`` followed by white space, or at a line break.  At every sentence
+Sentences end at ``.``, ``!`` or ``?`` followed by white space, or at a line break; very long ones are cut
+into pieces of ``PIECE`` words, so that a passage within one sentence is found too.  At every sentence
 starts a span: the shortest run of at least ``sentences`` consecutive sentences that holds at least
 ``min_words`` words.  Equal passages have equal spans wherever they stand.  All spans are hashed and
 met globally; sentences that lie in a span which is not the first of its kind (least doc_id, then least
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from tidewell.llm._shared import Scratch
 from tidewell.llm._text import SEPARATOR, buffers, chunks, mix, span_hashes, word_spans
 
-SENTENCES, MIN_WORDS = 2, 20
+SENTENCES, MIN_WORDS = 2, 25
+#: A sentence of more than LONG words counts as sentences of PIECE words, cut from its start.
+LONG, PIECE = 30, 20
 _STOP = np.array([chr(b) in ".!?" for b in range(256)])
 _SPACE = np.array([chr(b) in " \t\r\n\v\f" for b in range(256)])
 _BREAK = np.array([b == 10 for b in range(256)])
@@ -51,6 +54,13 @@ def sentence_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     closing = (breaks[end] > breaks[begin]) | ((begin > 0) & _STOP[data[np.maximum(begin - 1, 0)]])
     starts = np.concatenate([offsets[:-1][np.diff(offsets) > 0], end[closing]])
     starts = np.unique(starts[starts < n])
+    ws, _, _ = word_spans(data, offsets)
+    w0 = np.searchsorted(ws, starts)
+    words = np.diff(np.append(w0, len(ws)))
+    long = np.flatnonzero(words > LONG)
+    more = (words[long] - 1) // PIECE
+    at = np.repeat(w0[long], more) + PIECE * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
+    starts = np.unique(np.concatenate([starts, ws[at]]))
     return starts, np.searchsorted(starts, offsets)
 
 
