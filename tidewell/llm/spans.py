@@ -7,8 +7,9 @@ starts a span: the shortest run of at least ``sentences`` consecutive sentences
 met globally; sentences that lie in a span which is not the first of its kind (least doc_id, then least
 position) are removed.
 
-Only hashes and positions are shuffled.  First occurrences come from a grouped minimum with map-side
-combining; the spans then meet the repeated hashes in an equi-join, whose hot keys Spark can split.
+Only hashes and positions are shuffled, one of each kind per text: later ones in the same text are known to be
+repeats.  First occurrences come from a grouped minimum with map-side combining and are written; the spans then
+meet the repeated hashes in an equi-join, whose hot keys Spark can split.
 
 Defined cases: null texts are empty; empty texts and those of too few sentences or words keep all;
 null doc_ids are never compared and kept as they are; rows that repeat a doc_id are told apart by their
@@ -90,10 +91,21 @@ def sentence_spans(column: pa.Array, sentences: int, min_words: int) -> Iterator
         yield row, doc[i], i - first[doc[i]], j - i + 1, *out
 
 
+def _again(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether a span equals an earlier one of its own text."""
+    order = np.lexsort((h2, h1, doc))  # stable: positions stay in order
+    same = np.zeros(len(doc), bool)
+    a, b = order[1:], order[:-1]
+    same[a] = (doc[a] == doc[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
+    return same
+
+
 def _emit(sentences: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, doc, start, n, h1, h2 in sentence_spans(b.column(2), sentences, min_words):
+                own = ~_again(doc, h1, h2)
+                doc, start, n, h1, h2 = doc[own], start[own], n[own], h1[own], h2[own]
                 at = pa.array(row + doc)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(h1), pa.array(h2)], ["doc_id", "row_key", "start", "n", "h1", "h2"])
 
@@ -103,39 +115,48 @@ def _emit(sentences: int, min_words: int):
 CLEAN = "doc_id long, n_sentences long, n_removed long, removed string, text string"
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, counts, gone, spans, kept = b.column(0), [], [], [], []
-        runs = b.column(2)
-        for row, part in chunks(b.column(1)):
-            data, offsets = buffers(part)
-            starts, first = sentence_starts(data, offsets)
-            for d in range(len(part)):
-                own = starts[first[d] : first[d + 1]]
-                drop = np.zeros(len(own) + 1, np.int64)
-                for r in runs[row + d].as_py() or ():
-                    drop[r["start"]] += 1
-                    drop[r["start"] + r["n"]] -= 1
-                drop = np.cumsum(drop)[:-1] > 0
-                counts.append(len(own))
-                gone.append(int(drop.sum()))
-                if not drop.any():
-                    kept.append(part[d].as_py())
-                    spans.append("")
-                    continue
-                raw = data[offsets[d] : offsets[d + 1]].tobytes()
-                cut = [*(own - offsets[d]).tolist(), len(raw)]
-                pieces = [raw[x:y].decode() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                kept.append("".join(p for p, x in zip(pieces, drop, strict=True) if not x))
-                at, out = 0, []
-                for p, x in zip(pieces, drop, strict=True):
-                    if x and out and out[-1][1] == at:
-                        out[-1][1] = at + len(p)
-                    elif x:
-                        out.append([at, at + len(p)])
-                    at += len(p)
-                spans.append(",".join(f"{x}:{y}" for x, y in out))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
+def _remove(sentences: int, min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, runs, counts, gone, spans, kept = b.column(0), b.column(2), [], [], [], []
+            for (row, part), (_, sdoc, sstart, sn, h1, h2) in zip(chunks(b.column(1)), sentence_spans(b.column(1), sentences, min_words), strict=True):
+                data, offsets = buffers(part)
+                starts, first = sentence_starts(data, offsets)
+                mark = np.zeros(len(starts) + 1, np.int64)
+                again = _again(sdoc, h1, h2)
+                if ids.null_count:
+                    again &= ~ids.slice(row, len(part)).is_null().to_numpy(zero_copy_only=False)[sdoc]
+                at = first[sdoc[again]] + sstart[again]
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + sn[again], -1)
+                for d in range(len(part)):
+                    for r in runs[row + d].as_py() or ():
+                        mark[first[d] + r["start"]] += 1
+                        mark[first[d] + r["start"] + r["n"]] -= 1
+                drops = np.cumsum(mark)[:-1] > 0
+                for d in range(len(part)):
+                    own, drop = starts[first[d] : first[d + 1]], drops[first[d] : first[d + 1]]
+                    counts.append(len(own))
+                    gone.append(int(drop.sum()))
+                    if not drop.any():
+                        kept.append(part[d].as_py())
+                        spans.append("")
+                        continue
+                    raw = data[offsets[d] : offsets[d + 1]].tobytes()
+                    cut = [*(own - offsets[d]).tolist(), len(raw)]
+                    pieces = [raw[x:y].decode() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                    kept.append("".join(p for p, x in zip(pieces, drop, strict=True) if not x))
+                    at, out = 0, []
+                    for p, x in zip(pieces, drop, strict=True):
+                        if x and out and out[-1][1] == at:
+                            out[-1][1] = at + len(p)
+                        elif x:
+                            out.append([at, at + len(p)])
+                        at += len(p)
+                    spans.append(",".join(f"{x}:{y}" for x, y in out))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
+
+    return run
 
 
 def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -145,7 +166,7 @@ def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MI
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
     spans = rows.where("doc_id is not null").mapInArrow(_emit(sentences, min_words), SPANS)
     at = F.struct("doc_id", "start", "row_key")
-    first = spans.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last")
-    met = spans.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(at > F.col("first"))
+    first = scratch.table("first", spans.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("h1", "h2", "first"))
+    met = spans.join(first, ["h1", "h2"]).where(at > F.col("first"))
     runs = scratch.table("runs", met.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n")).alias("runs")))
-    return rows.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", "runs").mapInArrow(_remove, CLEAN)
+    return rows.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", "runs").mapInArrow(_remove(sentences, min_words), CLEAN)
