@@ -1,6 +1,12 @@
 """A training corpus from raw documents, in five stages that each keep the columns of documents.
 
 Every stage reads what its predecessor wrote; the last returns the digest of the token files.
+
+Defined cases, for every stage: a null text counts as empty and passes like an empty one; null values of other
+columns pass unchanged; extra columns are dropped, whatever their names; an empty table gives an empty one.  Rows
+without a doc_id are never near duplicates; rows that share a doc_id leave together where one of them is a copy of
+another document, and of wholly equal rows one stays; benchmark items are sought by text, whatever the doc_id; the token
+files hold rows of one doc_id one after another.
 """
 
 from __future__ import annotations
@@ -33,8 +39,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
-    found = decontam.contaminated(spark, docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS).withColumn("_text", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    found = decontam.contaminated(spark, keyed.select(F.col("_text").alias("doc_id"), "text"), queries.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_text")).distinct()
+    return keyed.join(found, "_text", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
