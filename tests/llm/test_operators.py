@@ -516,3 +516,26 @@ def test_pipeline_keeps_columns_and_ends_in_tokens(spark, sf):
             assert decontam.contaminated(spark, d, spark.read.parquet(f"{sf}/benchmark.parquet")).count() == 0
     assert d.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert sorted(p.run(spark, sf).collect()) == sorted(d.collect())
+
+
+def test_pipeline_stages_in_defined_cases(spark, sf):
+    import corpus_pipeline as p
+
+    odd = frame(spark, ODD).select("doc_id", "text", "lang", "source", "n_chars", "score", "bucket").withColumn("label", odd_label())
+    for d, n in ((odd, len(ODD)), (odd.where("1 = 0"), 0)):
+        for name, stage in p.STAGES[1:4]:
+            got = stage(spark, d, sf)
+            assert got.columns == p.COLUMNS and got.count() <= n
+        assert p.quality_stage(spark, d, sf).columns == p.COLUMNS
+        assert p.token_stage(spark, d, sf).count() == n
+    kept = [(r.doc_id, r.text) for r in p.near_dedup_stage(spark, odd, sf).collect()]
+    assert sorted(kept, key=str) == sorted([x for i, x in enumerate(ODD) if i not in (5, 6)], key=str)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    mixed = frame(spark, [(None, f"before it {item} after it"), (1, item), (1, "a clean text of five words"), (2, None)])
+    assert sorted((r.doc_id, r.text) for r in p.decontamination_stage(spark, mixed, sf).collect()) == [(1, "a clean text of five words"), (2, None)]
+
+
+def odd_label():
+    from pyspark.sql import functions as F
+
+    return F.lit("x")
