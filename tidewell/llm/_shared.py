@@ -6,6 +6,7 @@ that setting is absent (unit tests on one machine) is a local folder made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,3 +58,9 @@ def bound_batches(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished jobs, which else stay until the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

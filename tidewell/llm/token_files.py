@@ -1,9 +1,10 @@
 """Token files: canonical length-limited Huffman coding of token ids, read back by table.
 
 A text is cut before every space that a non-space follows; byte-level BPE never merges across such a cut,
-so each piece is encoded once by the tokenizers library and then looked up.  Pass 1 counts ids globally
-(a partial count per partition, summed by id); the counts give code lengths of at most ``LIMIT`` bits by
-package-merge, and lengths alone give the canonical codes.  Pass 2 writes blocks.
+so each piece is encoded once by the tokenizers library (Latin words by its model alone) and then looked
+up.  Texts are put into order and their ids kept in a table of the shared folder, from which ids are counted
+globally (a partial count per partition, summed by id); the counts give code lengths of at most ``LIMIT``
+bits by package-merge, and lengths alone give the canonical codes, in which the blocks are then written.
 
 File format (a Parquet folder, so that Spark's committed writes and any file system serve)::
 
@@ -22,7 +23,10 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,42 +34,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import Scratch, partitions
+from tidewell.llm._shared import Scratch, partitions, release
 
 END, LIMIT, STRIDE = 0, 20, 128
-#: Ids gathered before a block is closed; pieces that a worker keeps with their ids.
-BLOCK_TOKENS, CACHE = 1 << 19, 300_000
+#: Ids gathered before a block is closed; pieces that a worker keeps with their ids (twice as many at most).
+BLOCK_TOKENS, CACHE = 1 << 19, 400_000
 _U = np.uint64
+_SPACED = re.compile(r" \s")
+_LINES = re.compile(r"(\S+)\n(\S+)")
+
+
+#: The pre-tokenizer makes one token of a run of letters, and one of the ASCII punctuation that ends a piece.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_STOPS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from 256 on."""
+    own = {b for lo, hi in (("!", "~"), ("\u00a1", "\u00ac"), ("\u00ae", "\u00ff")) for b in range(ord(lo), ord(hi) + 1)}
+    free = iter(range(256, 512))
+    return [chr(b if b in own else next(free)) for b in range(256)]
+
+
+class _Words(dict):
+    """Bytes of the little-endian 32-bit ids of one pre-token (in byte letters), by the library's model."""
+
+    def __init__(self, tokenizer):
+        self.tokenize = tokenizer.model.tokenize
+
+    def ids(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self[word] = self.ids(word)
+        return ids
 
 
 class _Pieces(dict):
-    """Bytes of the little-endian 32-bit ids of a piece, encoded when first met."""
+    """Bytes of the ids of a piece with its prefix, encoded when first met."""
+
+    def __init__(self, tokenizer, prefix: str, words: _Words, letters: list[str], head: _Pieces | None = None):
+        self.encode, self.prefix, self.words, self.head = tokenizer.encode, prefix, words, self if head is None else head
+        self.old: dict[str, bytes] = {}
+        self.start, self.line = "".join(letters[b] for b in prefix.encode()), letters[10]
+        self.letters = {chr(i): "".join(letters[b] for b in chr(i).encode()) for i in range(33, 0x250)}
 
-    def __init__(self, tokenizer, prefix: str):
-        self.encode, self.prefix = tokenizer.encode, prefix
+    def word(self, word: str) -> bytes:
+        """Ids of a Latin word."""
+        return self.words.ids(self.start + (word if word.isascii() else "".join(map(self.letters.__getitem__, word))))
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE:  # what is used again comes back from the generation before
+            self.old = dict(self)
             self.clear()
-        ids = self[piece] = np.array(self.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if ids := self.old.get(piece):
+            pass
+        elif piece.isascii() and piece.isalpha():
+            ids = self.words.ids(self.start + piece)
+        elif (word := piece.rstrip(_STOPS)) and word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)):
+            stops = piece[len(word) :]
+            ids = (self.get(word) or self.word(word)) + self.words[stops] if stops else self.word(word)
+        elif m := _LINES.fullmatch(piece):  # a line break between two non-spaces is a token of its own
+            ids = self[m[1]] + self.words[self.line] + self.head[m[2]]
+        else:
+            ids = np.array(self.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = ids
         return ids
 
 
 class Encoder:
-    """Whole texts to ids, exactly as the tokenizer's ``encode`` gives them."""
+    """Whole texts to ids, exactly as the tokenizer's ``encode`` gives them (byte-level BPE without a normalizer)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.head, self.tail = _Pieces(self.tokenizer, ""), _Pieces(self.tokenizer, " ")
+        words, letters = _Words(self.tokenizer), byte_letters()
+        self.head = _Pieces(self.tokenizer, "", words, letters)
+        self.tail = _Pieces(self.tokenizer, " ", words, letters, self.head)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
+    @staticmethod
+    @functools.lru_cache(2)
+    def of(path: str) -> Encoder:
+        """The encoder of this worker process, with the pieces that earlier tasks have met."""
+        return Encoder(path)
+
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
-        if "" in rest or any(x[0].isspace() for x in rest):
+        if "" in rest or _SPACED.search(text):
             merged = [first]
             for x in rest:  # a space that no non-space follows belongs to the piece before it
                 if not x or x[0].isspace():
@@ -73,31 +134,73 @@ class Encoder:
                 else:
                     merged.append(x)
             first, *rest = merged
-            # white space at the end of one piece stays apart from the next piece's space
-        return self.head[first] + b"".join(map(self.tail.__getitem__, rest)) if first else b"".join(map(self.tail.__getitem__, rest))
+        ids = b"".join(map(self.tail.__getitem__, rest))
+        return self.head[first] + ids if first else ids
 
 
-COUNTS = "id int, n long"
+IDS = "bucket int, block int, doc_ids array<long>, lengths array<long>, planes array<binary>"
+
 
+def to_planes(ids: np.ndarray) -> list[bytes]:
+    """The bytes of 32-bit ids by significance, without leading planes of zeros: they compress better apart."""
+    raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    used = 1 + max([i for i in range(4) if raw[:, i].any()], default=0)
+    return [raw[:, i].tobytes() for i in range(used)]
+
+
+def from_planes(planes: list[bytes]) -> np.ndarray:
+    out = np.zeros(len(planes[0]), np.int64)
+    for i, p in enumerate(planes):
+        out |= np.frombuffer(p, np.uint8).astype(np.int64) << (8 * i)
+    return out
+
+
+def _tokenise(path: str):
+    """Rows (bucket, doc_id, text) in order to blocks of ids."""
 
-def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = Encoder(path), np.zeros(0, np.int64)
+        encode, end = Encoder.of(path), np.array([END], "<u4").tobytes()
+        bucket, block, docs, lengths, parts, held = None, 0, [], [], [], 0
+
+        def close():
+            planes = to_planes(np.frombuffer(b"".join(parts), "<u4"))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([planes], pa.list_(pa.binary()))], ["bucket", "block", "doc_ids", "lengths", "planes"])
+
         for b in batches:
-            for text in b.column(0):
-                ids = np.frombuffer(encode(text.as_py() or ""), "<u4")
-                if len(ids) and int(ids.max()) >= len(total):
-                    total = np.concatenate([total, np.zeros(int(ids.max()) + 1 - len(total), np.int64)])
-                total += np.bincount(ids, minlength=len(total))
-            if len(total) == 0:
-                total = np.zeros(END + 1, np.int64)
-            total[END] += b.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
+            for own, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if docs and (own != bucket or held >= BLOCK_TOKENS):
+                    yield close()
+                    block = block + 1 if own == bucket else 0
+                    docs, lengths, parts, held = [], [], [], 0
+                bucket = own
+                ids = encode(text.as_py() or "") + end
+                docs.append(doc)
+                lengths.append(len(ids) // 4)
+                parts.append(ids)
+                held += len(ids) // 4
+        if docs:
+            yield close()
 
     return run
 
 
+COUNTS = "id int, n long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        for planes in b.column(0):
+            own = np.bincount(from_planes(planes.as_py()))
+            if len(own) > len(total):
+                own[: len(total)] += total
+                total = own
+            else:
+                total[: len(own)] += own
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits (package-merge); counts are positive."""
     n = len(counts)
@@ -176,31 +279,14 @@ class Codebook:
 BLOCKS = "bucket int, block int, doc_ids array<long>, lengths array<long>, n_tokens long, checkpoints array<long>, payload binary"
 
 
-def _encode(path: str, book):
+def _encode(book):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, codes = Encoder(path), book.value
-        end = np.array([END], "<u4").tobytes()
-        bucket, block, docs, lengths, parts, held = None, 0, [], [], [], 0
-
-        def close():
-            ids = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
-            payload, checkpoints = codes.encode(ids)
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([checkpoints], pa.list_(pa.int64())), pa.array([payload], pa.binary())], ["bucket", "block", "doc_ids", "lengths", "n_tokens", "checkpoints", "payload"])
-
+        codes = book.value
         for b in batches:
-            for own, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if docs and (own != bucket or held >= BLOCK_TOKENS):
-                    yield close()
-                    block = block + 1 if own == bucket else 0
-                    docs, lengths, parts, held = [], [], [], 0
-                bucket = own
-                ids = encode(text.as_py() or "") + end
-                docs.append(doc)
-                lengths.append(len(ids) // 4)
-                parts.append(ids)
-                held += len(ids) // 4
-        if docs:
-            yield close()
+            for i in range(b.num_rows):
+                ids = from_planes(b.column(4)[i].as_py())
+                payload, checkpoints = codes.encode(ids)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns[:4]), pa.array([len(ids)], pa.int64()), pa.array([checkpoints], pa.list_(pa.int64())), pa.array([payload], pa.binary())], ["bucket", "block", "doc_ids", "lengths", "n_tokens", "checkpoints", "payload"])
 
     return run
 
@@ -222,11 +308,6 @@ def _decode(book):
     return run
 
 
-def id_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """How often each id occurs over all documents, the end ids included."""
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(tokenizer_path), COUNTS).groupBy("id").agg(F.sum("n").alias("n"))
-
-
 def range_bounds(docs: DataFrame, parts: int) -> list[int]:
     """Bounds that cut doc_id into about equal buckets."""
     if parts < 2:
@@ -245,16 +326,17 @@ def bucket_of(column, bounds: list[int]):
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: Scratch, parts: int | None = None) -> None:
     """Writes codebook, blocks and buckets of all documents, in ascending doc_id order."""
     spark = docs.sparkSession
-    counts = id_counts(docs, tokenizer_path).toPandas()  # a row per id of the vocabulary at most
-    ids = counts["id"].to_numpy(np.int64)
-    lengths = code_lengths(counts["n"].to_numpy(np.int64))
-    out.table("codebook", spark.createDataFrame([(int(i), int(n)) for i, n in zip(ids, lengths, strict=True)], "id int, length int"))
-    book = spark.sparkContext.broadcast(Codebook(ids, lengths))
     parts = parts or 2 * partitions(spark)
     bounds = range_bounds(docs, parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("bucket", bucket_of(F.col("doc_id"), bounds).cast("int")).select("bucket", "doc_id", "text")
-    blocks = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(_encode(tokenizer_path, book), BLOCKS)
-    blocks = out.table("blocks", blocks, codec="uncompressed")
+    ids = out.table("ids", rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(_tokenise(tokenizer_path), IDS))
+    release(spark)  # the shuffled texts
+    counts = ids.select("planes").mapInArrow(_count, COUNTS).groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per id of the vocabulary at most
+    lengths = code_lengths(counts["n"].to_numpy(np.int64))
+    out.table("codebook", spark.createDataFrame([(int(i), int(n)) for i, n in zip(counts["id"], lengths, strict=True)], "id int, length int"))
+    book = spark.sparkContext.broadcast(Codebook(counts["id"].to_numpy(np.int64), lengths))
+    blocks = out.table("blocks", ids.mapInArrow(_encode(book), BLOCKS), codec="uncompressed")
+    out.drop("ids")
     totals = blocks.groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens")).orderBy("bucket").collect()  # a row per bucket
     start, index = 0, []
     for r in totals:
