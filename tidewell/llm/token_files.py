@@ -10,7 +10,7 @@ File format (a Parquet folder, so that Spark's committed writes and any file sys
 
     codebook  id, length                 canonical codes: by length, then id; most significant bit first
     blocks    bucket, block, doc_ids, lengths (ids per document, end id included), n_tokens,
-              checkpoints (bit offset of every STRIDE-th id), payload (bytes)
+              checkpoints (bits from each STRIDE-th id to the next, 16 bits each), payload (bytes)
     buckets   bucket, start, n_tokens    ids of all documents in lower buckets
 
 Buckets are ranges of doc_id; within one, blocks follow ascending doc_id and hold whole documents.  Every
@@ -36,11 +36,10 @@ from pyspark.sql import functions as F
 
 from tidewell.llm._shared import Scratch, partitions, release
 
-END, LIMIT, STRIDE = 0, 20, 128
+END, LIMIT, STRIDE, TOTALS = 0, 20, 128, -1
 #: Ids gathered before a block is closed; pieces that a worker keeps with their ids (twice as many at most).
 BLOCK_TOKENS, CACHE = 1 << 19, 400_000
 _U = np.uint64
-_SPACED = re.compile(r" \s")
 _LINES = re.compile(r"(\S+)\n(\S+)")
 
 
@@ -56,6 +55,10 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(free)) for b in range(256)]
 
 
+class _Apart(Exception):
+    """A space that no non-space follows: the text must be cut with care."""
+
+
 class _Words(dict):
     """Bytes of the little-endian 32-bit ids of one pre-token (in byte letters), by the library's model."""
 
@@ -86,6 +89,8 @@ class _Pieces(dict):
         return self.words.ids(self.start + (word if word.isascii() else "".join(map(self.letters.__getitem__, word))))
 
     def __missing__(self, piece: str) -> bytes:
+        if self.start and (not piece or piece[0].isspace()):
+            raise _Apart
         if len(self) >= CACHE:  # what is used again comes back from the generation before
             self.old = dict(self)
             self.clear()
@@ -125,19 +130,23 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        if "" in rest or _SPACED.search(text):
+        rest = text.split(" ")
+        first = rest.pop(0)
+        try:
+            ids = b"".join(map(self.tail.__getitem__, rest))
+        except _Apart:
             merged = [first]
-            for x in rest:  # a space that no non-space follows belongs to the piece before it
-                if not x or x[0].isspace():
+            for x in rest:
+                if not x or x[0].isspace():  # the space belongs to the piece before it
                     merged[-1] += " " + x
                 else:
                     merged.append(x)
             first, *rest = merged
-        ids = b"".join(map(self.tail.__getitem__, rest))
+            ids = b"".join(map(self.tail.__getitem__, rest))
         return self.head[first] + ids if first else ids
 
 
+#: Blocks of ids, and for every task a row of its totals by id (bucket TOTALS).
 IDS = "bucket int, block int, doc_ids array<long>, lengths array<long>, planes array<binary>"
 
 
@@ -161,11 +170,19 @@ def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = Encoder.of(path), np.array([END], "<u4").tobytes()
         bucket, block, docs, lengths, parts, held = None, 0, [], [], [], 0
+        total = np.zeros(END + 1, np.int64)
 
-        def close():
-            planes = to_planes(np.frombuffer(b"".join(parts), "<u4"))
+        def row(bucket: int, block: int, docs: list, lengths: list, planes: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([planes], pa.list_(pa.binary()))], ["bucket", "block", "doc_ids", "lengths", "planes"])
 
+        def close() -> pa.RecordBatch:
+            nonlocal total
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            own = np.bincount(ids, minlength=len(total))
+            own[: len(total)] += total
+            total = own
+            return row(bucket, block, docs, lengths, to_planes(ids))
+
         for b in batches:
             for own, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if docs and (own != bucket or held >= BLOCK_TOKENS):
@@ -180,6 +197,7 @@ def _tokenise(path: str):
                 held += len(ids) // 4
         if docs:
             yield close()
+            yield row(TOTALS, 0, [], [], [total.astype("<i8").tobytes()])
 
     return run
 
@@ -188,17 +206,12 @@ COUNTS = "id int, n long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
+    """Rows of totals to (id, n)."""
     for b in batches:
         for planes in b.column(0):
-            own = np.bincount(from_planes(planes.as_py()))
-            if len(own) > len(total):
-                own[: len(total)] += total
-                total = own
-            else:
-                total[: len(own)] += own
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
+            total = np.frombuffer(planes[0].as_py(), "<i8")
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -244,7 +257,7 @@ class Codebook:
         self.table[: begin[-1]] = np.repeat(self.ids, step)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The payload and the bit offset of every STRIDE-th id."""
+        """The payload, and the distances in bits between every STRIDE-th id (16 bits each, the first 0)."""
         bits = self.bits[ids]
         end = np.cumsum(bits)
         begin = end - bits
@@ -257,13 +270,14 @@ class Codebook:
             if len(ids):
                 new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 words[at[new] + shift] += np.add.reduceat(part, new)
-        return words.astype(">u4").tobytes()[: (total + 7) // 8], begin[::STRIDE].astype(np.int64)
+        marks = begin[::STRIDE]
+        return words.astype(">u4").tobytes()[: (total + 7) // 8], np.diff(marks, prepend=0).astype("<u2").tobytes()
 
-    def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
+    def decode(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """All n ids of a block, its checkpoints in lockstep."""
         raw = np.frombuffer(payload + bytes(8), np.uint8).astype(_U)
         pad = raw[:-3] << _U(24) | raw[1:-2] << _U(16) | raw[2:-1] << _U(8) | raw[3:]  # 32 bits from every byte
-        at = checkpoints.copy()
+        at = np.cumsum(np.frombuffer(checkpoints, "<u2"), dtype=np.int64)
         out = np.zeros((STRIDE, len(at)), np.int32)
         last = n - (len(at) - 1) * STRIDE
         for i in range(STRIDE):
@@ -276,7 +290,7 @@ class Codebook:
         return out.T.reshape(-1)[:n]
 
 
-BLOCKS = "bucket int, block int, doc_ids array<long>, lengths array<long>, n_tokens long, checkpoints array<long>, payload binary"
+BLOCKS = "bucket int, block int, doc_ids array<long>, lengths array<long>, n_tokens long, checkpoints binary, payload binary"
 
 
 def _encode(book):
@@ -286,7 +300,7 @@ def _encode(book):
             for i in range(b.num_rows):
                 ids = from_planes(b.column(4)[i].as_py())
                 payload, checkpoints = codes.encode(ids)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns[:4]), pa.array([len(ids)], pa.int64()), pa.array([checkpoints], pa.list_(pa.int64())), pa.array([payload], pa.binary())], ["bucket", "block", "doc_ids", "lengths", "n_tokens", "checkpoints", "payload"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns[:4]), pa.array([len(ids)], pa.int64()), pa.array([checkpoints], pa.binary()), pa.array([payload], pa.binary())], ["bucket", "block", "doc_ids", "lengths", "n_tokens", "checkpoints", "payload"])
 
     return run
 
@@ -299,7 +313,7 @@ def _decode(book):
         codes = book.value
         for b in batches:
             for bucket, start, docs, lengths, n, checkpoints, payload in zip(*(b.column(i) for i in range(7)), strict=True):
-                ids = codes.decode(payload.as_py(), np.array(checkpoints.values.to_numpy()), n.as_py()).astype("<u4")
+                ids = codes.decode(payload.as_py(), checkpoints.as_py(), n.as_py()).astype("<u4")
                 lengths = np.array(lengths.values.to_numpy())
                 cut = np.concatenate([[0], np.cumsum(lengths)])
                 crc = [zlib.crc32(ids[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
@@ -331,11 +345,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: Scratch, parts: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("bucket", bucket_of(F.col("doc_id"), bounds).cast("int")).select("bucket", "doc_id", "text")
     ids = out.table("ids", rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(_tokenise(tokenizer_path), IDS))
     release(spark)  # the shuffled texts
-    counts = ids.select("planes").mapInArrow(_count, COUNTS).groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per id of the vocabulary at most
+    counts = ids.where(F.col("bucket") == TOTALS).select("planes").mapInArrow(_count, COUNTS).groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per id of the vocabulary at most
     lengths = code_lengths(counts["n"].to_numpy(np.int64))
     out.table("codebook", spark.createDataFrame([(int(i), int(n)) for i, n in zip(counts["id"], lengths, strict=True)], "id int, length int"))
     book = spark.sparkContext.broadcast(Codebook(counts["id"].to_numpy(np.int64), lengths))
-    blocks = out.table("blocks", ids.mapInArrow(_encode(book), BLOCKS), codec="uncompressed")
+    blocks = out.table("blocks", ids.where(F.col("bucket") != TOTALS).mapInArrow(_encode(book), BLOCKS), codec="uncompressed")
     out.drop("ids")
     totals = blocks.groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens")).orderBy("bucket").collect()  # a row per bucket
     start, index = 0, []
