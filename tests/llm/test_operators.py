@@ -539,3 +539,16 @@ def odd_label():
     from pyspark.sql import functions as F
 
     return F.lit("x")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_their_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, sf).toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert sorted(got[cols].round(9).itertuples(index=False, name=None)) == sorted(want[cols].round(9).itertuples(index=False, name=None))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Words and shingles as the operators cut them: runs of letters, digits, underscores and everything outside ASCII.
+_GRAMS = """w AS (SELECT {id} AS id, regexp_extract_all(lower(coalesce(text, '')), '(?:[^\\x00-\\x7F]|[0-9A-Za-z_])+') AS w FROM {table}),
+g AS (SELECT id, len(w) AS words, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+s AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(g) AS g FROM g) GROUP BY 1, 2)"""
+
+
+def _grams(table_name: str, id_column: str, prefix: str) -> str:
+    out = _GRAMS.format(table=table_name, id=id_column)
+    for name in "wgs":
+        out = re.sub(rf"\b{name} AS \(", f"{prefix}{name} AS (", out)
+    return out.replace("FROM w)", f"FROM {prefix}w)").replace("FROM g) GROUP", f"FROM {prefix}g) GROUP")
+
+
+_OP3 = f"""WITH {_grams("documents", "doc_id", "d")}, {_grams("benchmark", "item_id", "b")}, n AS (SELECT id, count(*) AS n FROM bs GROUP BY 1),
+m AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS k FROM ds JOIN bs ON ds.g = bs.g GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS item_shingles, k AS shared_shingles, k / n AS containment FROM m JOIN n ON n.id = item_id WHERE k >= 0.8::DOUBLE * n - 1e-9::DOUBLE"""
+
+_OP8 = f"""WITH RECURSIVE {_grams("documents", "doc_id", "d")}, t AS (SELECT id, sum(n) AS n FROM ds GROUP BY 1),
+p AS (SELECT a.id AS u, b.id AS v, sum(least(a.n, b.n)) AS k FROM ds a JOIN ds b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN t x ON x.id = u JOIN t y ON y.id = v WHERE k / (x.n + y.n - k) >= 0.8::DOUBLE - 1e-12::DOUBLE), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT id AS a, id AS c FROM dg UNION SELECT r.a, b.v FROM r JOIN b ON b.u = r.c), c AS (SELECT a AS doc_id, min(c) AS class_id FROM r GROUP BY 1)
+SELECT c.doc_id, c.class_id, count(*) OVER (PARTITION BY c.class_id) AS class_size, dg.words FROM c JOIN dg ON dg.id = c.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """No operator here has an equivalent in SQL: hashes, models and files of its own; tests hold them against brute force."""
-    return {}
+    """Exact containment and exact similarity have an equivalent in SQL; the rest (hashes, models, files) is held against brute force in tests."""
+    return {"op3_decontamination": _OP3, "op8_near_duplicates": _OP8}
