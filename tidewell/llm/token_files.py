@@ -4,7 +4,7 @@ A text is cut before every space that a non-space follows; byte-level BPE never
 so each piece is encoded once by the tokenizers library (Latin words by its model alone) and then looked
 up.  Texts are put into order and their ids kept in a table of the shared folder, from which ids are counted
 globally (a partial count per partition, summed by id); the counts give code lengths of at most ``LIMIT``
-bits by package-merge, and lengths alone give the canonical codes, in which the blocks are then written.
+bits (one more than the ids need, if that is more) by package-merge, and lengths alone give the canonical codes, in which the blocks are then written.
 
 File format (a Parquet folder, so that Spark's committed writes and any file system serve)::
 
@@ -14,7 +14,7 @@ File format (a Parquet folder, so that Spark's committed writes and any file sys
     buckets   bucket, start, n_tokens    ids of all documents in lower buckets
 
 Buckets are ranges of doc_id; within one, blocks follow ascending doc_id and hold whole documents.  Every
-block is decoded by itself, all its checkpoints in lockstep through one table of ``2**LIMIT`` entries.
+block is decoded by itself, all its checkpoints in lockstep through one table of as many entries as the longest code has values.
 
 Defined cases: a null text is empty; an empty text is the end id alone; null doc_ids come before all
 others; repeated doc_ids follow one another in the order of their text; an empty table makes empty files; extra
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm._shared import Scratch, partitions, release
 
-END, LIMIT, STRIDE, TOTALS = 0, 20, 128, -1
+END, LIMIT, STRIDE, TOTALS, SLICE = 0, 20, 128, -1, 1 << 15
 #: Ids gathered before a block is closed; pieces that a worker keeps with their ids (twice as many at most).
 BLOCK_TOKENS, CACHE = 1 << 19, 400_000
 _U = np.uint64
@@ -214,9 +214,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits (package-merge); counts are positive."""
     n = len(counts)
+    limit = limit or max(LIMIT, n.bit_length() + 1)
     if n <= 1:
         return np.ones(n, np.int64)
     if n > 1 << limit:
@@ -247,13 +248,14 @@ class Codebook:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray):
         order = np.lexsort((ids, lengths))
         self.ids, self.lengths = ids[order].astype(np.int64), lengths[order].astype(np.int64)
-        step = np.left_shift(1, LIMIT - self.lengths)
+        self.limit = limit = int(self.lengths.max(initial=1))
+        step = np.left_shift(1, limit - self.lengths)
         begin = np.concatenate([[0], np.cumsum(step)])
         size = int(self.ids.max(initial=0)) + 1
         self.code, self.bits = np.zeros(size, _U), np.zeros(size, np.int64)
-        self.code[self.ids] = (begin[:-1] >> (LIMIT - self.lengths)).astype(_U)
+        self.code[self.ids] = (begin[:-1] >> (limit - self.lengths)).astype(_U)
         self.bits[self.ids] = self.lengths
-        self.table = np.zeros(1 << LIMIT, np.int32)
+        self.table = np.zeros(1 << limit, np.int32)
         self.table[: begin[-1]] = np.repeat(self.ids, step)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -263,27 +265,29 @@ class Codebook:
         begin = end - bits
         total = int(end[-1]) if len(ids) else 0
         words = np.zeros((total >> 5) + 3, _U)
-        # each code lies in two 32-bit words at most; bits of different codes are disjoint, so sums are unions
-        at = begin >> 5
-        wide = self.code[ids] << (64 - (begin & 31) - bits).astype(_U)
-        for part, shift in ((wide >> _U(32), 0), (wide & _U(0xFFFFFFFF), 1)):
-            if len(ids):
-                new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        for i in range(0, len(ids), SLICE):  # slices stay in a processor's cache
+            own = slice(i, i + SLICE)
+            # each code lies in two 32-bit words at most; bits of different codes are disjoint, so sums are unions
+            at = begin[own] >> 5
+            wide = self.code[ids[own]] << (64 - (begin[own] & 31) - bits[own]).astype(_U)
+            new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            for part, shift in ((wide >> _U(32), 0), (wide & _U(0xFFFFFFFF), 1)):
                 words[at[new] + shift] += np.add.reduceat(part, new)
         marks = begin[::STRIDE]
         return words.astype(">u4").tobytes()[: (total + 7) // 8], np.diff(marks, prepend=0).astype("<u2").tobytes()
 
     def decode(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """All n ids of a block, its checkpoints in lockstep."""
-        raw = np.frombuffer(payload + bytes(8), np.uint8).astype(_U)
-        pad = raw[:-3] << _U(24) | raw[1:-2] << _U(16) | raw[2:-1] << _U(8) | raw[3:]  # 32 bits from every byte
+        raw = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
+        pad = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]  # 32 bits from every byte
+        mask = np.uint32((1 << self.limit) - 1)
         at = np.cumsum(np.frombuffer(checkpoints, "<u2"), dtype=np.int64)
         out = np.zeros((STRIDE, len(at)), np.int32)
         last = n - (len(at) - 1) * STRIDE
         for i in range(STRIDE):
             if i == last:
                 at = at[:-1]
-            window = (pad[at >> 3] >> (32 - LIMIT - (at & 7)).astype(_U)).astype(np.int64) & ((1 << LIMIT) - 1)
+            window = (pad[at >> 3] >> (32 - self.limit - (at & 7)).astype(np.uint32)) & mask
             ids = self.table[window]
             out[i, : len(at)] = ids
             at = at + self.bits[ids]
