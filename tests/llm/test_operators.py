@@ -295,6 +295,36 @@ def test_span_dedup_matches_brute_force(docs, texts):
         assert left == r.text
 
 
+def repeated_runs(rows, n=51):
+    """doc_ids that hold a run of n words which also stands in a document of less doc_id."""
+    seen, out = {}, set()
+    for i, t in sorted(rows):
+        w = WORD.findall(t)
+        for a in range(len(w) - n + 1):
+            if seen.setdefault(tuple(w[a : a + n]), i) != i:
+                out.add(i)
+    return out
+
+
+def test_windowed_spans_leave_no_repeated_run(spark, docs, texts):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = " ".join(word() for _ in range(51))
+    # at other offsets of a sentence without end, across sentences of 30 words, and with sentences that end elsewhere
+    rows = [(n, " ".join([*(word() for _ in range(7 * n + 3)), passage, *(word() for _ in range(40))])) for n in range(6)]
+    rows += [(6, passage), (7, "One. " + passage.replace(" ", ". ", 30) + "."), (8, "ä" + passage + " é" + passage), (9, " ".join(word() for _ in range(300)))]
+    got = {r.doc_id: r for r in spans.dedup_spans(frame(spark, rows), window=spans.WINDOW).collect()}
+    assert len(repeated_runs(rows)) >= 6 and not repeated_runs([(i, r.text) for i, r in got.items()])
+    assert got[0].text == rows[0][1] and got[9].text == rows[9][1] and got[6].n_removed > 0
+    whole = spans.dedup_spans(docs, window=spans.WINDOW).collect()
+    assert not repeated_runs([(r.doc_id, r.text) for r in whole])
+    for given, r in [*((dict(rows), r) for r in got.values()), *((texts, r) for r in whole)]:
+        left = given[r.doc_id]
+        for s in reversed([x.split(":") for x in r.removed.split(",") if x]):
+            left = left[: int(s[0])] + left[int(s[1]) :]
+        assert left == r.text
+
+
 # fingerprints
 
 

@@ -1,11 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
 Sentences end at ``.``, ``!`` or ``?`` followed by white space, or at a line break; very long ones are cut
-into pieces of ``PIECE`` words, so that a passage within one sentence is found too.  At every sentence
-starts a span: the shortest run of at least ``sentences`` consecutive sentences that holds at least
-``min_words`` words.  Equal passages have equal spans wherever they stand.  All spans are hashed and
-met globally; sentences that lie in a span which is not the first of its kind (least doc_id, then least
-position) are removed.
+into pieces of ``PIECE`` words.  At every sentence starts a span: the shortest run of at least ``sentences``
+consecutive sentences that holds at least ``min_words`` words.  All spans are hashed and met globally; sentences
+that lie in a span which is not the first of its kind (least doc_id, then least position) are removed.
+
+Sentence spans miss a passage whose sentences are cut at other words or are too long for it.  With ``window``, runs of
+``min_words`` words are spans too, those whose hash is the least of ``window`` consecutive ones: their place depends on
+the words alone, so two texts that share ``min_words + window - 1`` consecutive words share a span, whatever stands around
+them.  Of these the words themselves are removed, with what follows the last of them up to the next word.
 
 Only hashes and positions are shuffled, one of each kind per text: later ones in the same text are known to be
 repeats.  First occurrences come from a grouped minimum with map-side combining and are written; the spans then
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +35,14 @@ from tidewell.llm._shared import Scratch
 from tidewell.llm._text import SEPARATOR, buffers, chunks, mix, span_hashes, word_spans
 
 SENTENCES, MIN_WORDS = 2, 25
+#: With MIN_WORDS, finds every repeated run of 49 words.
+WINDOW = 25
 #: A sentence of more than LONG words counts as sentences of PIECE words, cut from its start.
 LONG, PIECE = 30, 20
 _STOP = np.array([chr(b) in ".!?" for b in range(256)])
 _SPACE = np.array([chr(b) in " \t\r\n\v\f" for b in range(256)])
 _BREAK = np.array([b == 10 for b in range(256)])
+#: start and n count sentences; of spans of words n is negative, and both count words.
 SPANS = "doc_id long, row_key long, start int, n int, h1 long, h2 long"
 
 
@@ -65,8 +72,34 @@ def sentence_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return starts, np.searchsorted(starts, offsets)
 
 
-def sentence_spans(column: pa.Array, sentences: int, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk: row of its first text, then text, first sentence, sentences and two hashes of every span."""
+def selected_runs(least: np.ndarray, valid: np.ndarray, opens: np.ndarray, window: int) -> np.ndarray:
+    """Positions whose hash is the least of a window (all equal ones); where a text has fewer, its one window is shorter.
+
+    valid: whether a run starts there; runs of one text are followed by ``window - 1`` invalid positions at least.
+    """
+    n, top = len(least), np.iinfo(np.uint64).max
+    if not valid.any():
+        return np.zeros(0, np.int64)
+    low = np.concatenate([np.where(valid, least, top), np.full(window, top, np.uint64)])
+    high, size = low, 1
+    while size < window:  # minima of twice as many, or of window
+        step = min(size, window - size)
+        high, size = np.minimum(high[: len(high) - step], high[step:]), size + step
+    whole = valid & (np.append(valid, np.zeros(window, bool))[window - 1 : window - 1 + n] | opens)
+    cover, size = np.concatenate([np.zeros(window - 1, np.uint64), np.where(whole, high[:n], 0)]), 1
+    while size < window:
+        step = min(size, window - size)
+        cover, size = np.maximum(cover[: len(cover) - step], cover[step:]), size + step
+    return np.flatnonzero(valid & (low[:n] == cover))
+
+
+def sentence_spans(column: pa.Array, sentences: int, min_words: int, window: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each chunk: row of its first text, then text, first sentence, sentences and two hashes of every span.
+
+    With ``window``, spans of words follow: their first word, and less than nothing by the number of words.
+    """
+    if window > min_words:
+        raise ValueError("window is at most min_words")
     for row, part in chunks(column):
         data, offsets = buffers(part)
         starts, first = sentence_starts(data, offsets)
@@ -83,12 +116,20 @@ def sentence_spans(column: pa.Array, sentences: int, min_words: int) -> Iterator
         c = mix(hashes)
         weights = np.multiply.accumulate(np.full(len(c) + 1, np.uint64(0xD6E8FEB86659FD93 | 3)))
         inverse = np.multiply.accumulate(np.full(len(c) + 1, np.uint64(pow(0xD6E8FEB86659FD93 | 3, -1, 1 << 64))))
-        out = []
-        for salt in (0x0123456789ABCDEF, 0x6A09E667F3BCC909):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(c ^ np.uint64(salt)) * weights[: len(c)])])
-            a, b = w0[i], w1[j]
-            out.append(mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)).view(np.int64))
-        yield row, doc[i], i - first[doc[i]], j - i + 1, *out
+        out, of, start, count = [], doc[i], i - first[doc[i]], j - i + 1
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(c ^ np.uint64(salt)) * weights[: len(c)])]) for salt in (0x0123456789ABCDEF, 0x6A09E667F3BCC909)]
+        a, b = w0[i], w1[j]
+        if window:
+            own = np.repeat(np.arange(len(part)), np.diff(wfirst))
+            at = np.arange(len(ws))
+            valid, end = at + min_words <= wfirst[own + 1], np.minimum(at + min_words, len(ws))
+            at = selected_runs(mix((sums[0][end] - sums[0][at]) * inverse[at]), valid, at == wfirst[own], window)
+            of, start, count = np.concatenate([of, own[at]]), np.concatenate([start, at - wfirst[own[at]]]), np.concatenate([count, np.full(len(at), -min_words)])
+            a, b = np.concatenate([a, at]), np.concatenate([b, at + min_words])
+        kind = np.where(count < 0, np.uint64(0xBB67AE8584CAA73B), np.uint64(0))
+        for x in sums:
+            out.append(mix((x[b] - x[a]) * inverse[a] + (b - a).astype(np.uint64) ^ kind).view(np.int64))
+        yield row, of, start, count, *out
 
 
 def _again(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -100,10 +141,10 @@ def _again(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return same
 
 
-def _emit(sentences: int, min_words: int):
+def _emit(sentences: int, min_words: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, doc, start, n, h1, h2 in sentence_spans(b.column(2), sentences, min_words):
+            for row, doc, start, n, h1, h2 in sentence_spans(b.column(2), sentences, min_words, window):
                 own = ~_again(doc, h1, h2)
                 doc, start, n, h1, h2 = doc[own], start[own], n[own], h1[own], h2[own]
                 at = pa.array(row + doc)
@@ -115,58 +156,59 @@ def _emit(sentences: int, min_words: int):
 CLEAN = "doc_id long, n_sentences long, n_removed long, removed string, text string"
 
 
-def _remove(sentences: int, min_words: int):
+def _remove(sentences: int, min_words: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, runs, counts, gone, spans, kept = b.column(0), b.column(2), [], [], [], []
-            for (row, part), (_, sdoc, sstart, sn, h1, h2) in zip(chunks(b.column(1)), sentence_spans(b.column(1), sentences, min_words), strict=True):
+            for (row, part), (_, sdoc, sstart, sn, h1, h2) in zip(chunks(b.column(1)), sentence_spans(b.column(1), sentences, min_words, window), strict=True):
                 data, offsets = buffers(part)
                 starts, first = sentence_starts(data, offsets)
-                mark = np.zeros(len(starts) + 1, np.int64)
+                ws, _, wfirst = word_spans(data, offsets)
                 again = _again(sdoc, h1, h2)
                 if ids.null_count:
                     again &= ~ids.slice(row, len(part)).is_null().to_numpy(zero_copy_only=False)[sdoc]
-                at = first[sdoc[again]] + sstart[again]
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + sn[again], -1)
-                for d in range(len(part)):
-                    for r in runs[row + d].as_py() or ():
-                        mark[first[d] + r["start"]] += 1
-                        mark[first[d] + r["start"] + r["n"]] -= 1
+                met = runs.slice(row, len(part))
+                flat = pc.list_flatten(met)
+                doc = np.concatenate([sdoc[again], pc.list_parent_indices(met).to_numpy()])
+                at = np.concatenate([sstart[again], flat.field(0).to_numpy()]).astype(np.int64)
+                n = np.concatenate([sn[again], flat.field(1).to_numpy()]).astype(np.int64)
+                # byte ranges; the last sentence and the last word of a text end with it
+                mark = np.zeros(len(data) + 1, np.int32)
+                for own, begin, of in ((n > 0, starts, first), (n < 0, ws, wfirst)):
+                    x = of[doc[own]] + at[own]
+                    y = x + np.abs(n[own])
+                    np.add.at(mark, begin[x], 1)
+                    np.add.at(mark, np.where(y < of[doc[own] + 1], np.append(begin, 0)[y], offsets[doc[own] + 1]), -1)
                 drops = np.cumsum(mark)[:-1] > 0
+                lost = np.concatenate([[0], np.cumsum(drops)])
+                cut = np.append(starts, len(data))
+                hit = np.concatenate([[0], np.cumsum(lost[cut[1:]] > lost[cut[:-1]])])
+                counts += np.diff(first).tolist()
+                gone += (hit[first[1:]] - hit[first[:-1]]).tolist()
                 for d in range(len(part)):
-                    own, drop = starts[first[d] : first[d + 1]], drops[first[d] : first[d + 1]]
-                    counts.append(len(own))
-                    gone.append(int(drop.sum()))
-                    if not drop.any():
+                    x, y = offsets[d], offsets[d + 1]
+                    if lost[x] == lost[y]:
                         kept.append(part[d].as_py())
                         spans.append("")
                         continue
-                    raw = data[offsets[d] : offsets[d + 1]].tobytes()
-                    cut = [*(own - offsets[d]).tolist(), len(raw)]
-                    pieces = [raw[x:y].decode() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                    kept.append("".join(p for p, x in zip(pieces, drop, strict=True) if not x))
-                    at, out = 0, []
-                    for p, x in zip(pieces, drop, strict=True):
-                        if x and out and out[-1][1] == at:
-                            out[-1][1] = at + len(p)
-                        elif x:
-                            out.append([at, at + len(p)])
-                        at += len(p)
-                    spans.append(",".join(f"{x}:{y}" for x, y in out))
+                    raw, drop = data[x:y], drops[x:y]
+                    kept.append(raw[~drop].tobytes().decode())
+                    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                    edges = points[np.flatnonzero(np.diff(np.concatenate([[0], drop.view(np.int8), [0]])))].tolist()
+                    spans.append(",".join(f"{p}:{q}" for p, q in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
 
     return run
 
 
-def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per input row: sentences, how many were removed, their code-point spans, and what is left."""
+def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS, window: int = 0) -> DataFrame:
+    """One row per input row: sentences, of how many something was removed, code-point spans of that, and what is left."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    spans = rows.where("doc_id is not null").mapInArrow(_emit(sentences, min_words), SPANS)
+    spans = rows.where("doc_id is not null").mapInArrow(_emit(sentences, min_words, window), SPANS)
     at = F.struct("doc_id", "start", "row_key")
     first = scratch.table("first", spans.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("h1", "h2", "first"))
     met = spans.join(first, ["h1", "h2"]).where(at > F.col("first"))
     runs = scratch.table("runs", met.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n")).alias("runs")))
-    return rows.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", "runs").mapInArrow(_remove(sentences, min_words), CLEAN)
+    return rows.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", "runs").mapInArrow(_remove(sentences, min_words, window), CLEAN)
