@@ -228,6 +228,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_toxicity_on_held_out_rows_of_every_language(spark):
+    d = "/root/testdata/sf0.1"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in queries.op10_toxicity(spark, d).collect() if r.held_out and r.doc_id in label]
+    for x in ("en", "de", "fr", "es"):
+        own = [(label[r.doc_id], r.predicted) for r in rows if lang[r.doc_id] == x]
+        toxic = [p for t, p in own if t]
+        assert len(toxic) >= 10 and sum(toxic) / len(toxic) > 0.8, x
+        assert sum(t == p for t, p in own) / len(own) > 0.9, x
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     terms, n = 60, 700

@@ -1,7 +1,8 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased words and their openings of four and five letters; the vocabulary holds the terms whose presence
-clearly depends on the label (log-likelihood ratio of document counts in the sample, and lift).  A query's upper bound
+clearly depends on the label (log-likelihood ratio of document counts in the sample, and lift).  The length of a text takes
+in its other words too, so a term that a long text shows once by chance says less than terms that fill a text.  A query's upper bound
 for a block of examples is the sum of its weights times the block's greatest weight of each term; blocks are taken
 from the highest bound down until no bound can beat the k-th best, so the neighbours are exact.  Their
 votes, weighted by similarity, are drawn towards the base rate, so that few or distant neighbours say little.
@@ -58,13 +59,17 @@ class _Lookup(dict):
 
 
 def vector(text: str, lookup: _Lookup, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and unit-length TF-IDF weights (1 + ln tf) of a whole text."""
+    """Terms and TF-IDF weights (1 + ln tf) of a whole text, over a length in which each other distinct word counts as 1."""
     counts: Counter[int] = Counter()
-    for own in filter(None, map(lookup.__getitem__, _WORD.findall(text.lower()))):
-        counts.update(own)
+    other = 0
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        own = lookup[word]
+        other += not own
+        for t in own:
+            counts[t] += n
     at = np.array(sorted(counts), np.int64)
     w = (1 + np.log(np.array([counts[i] for i in at.tolist()], np.float64))) * idf[at] if len(at) else np.zeros(0)
-    return at, w / np.sqrt((w**2).sum()) if len(at) else w
+    return at, w / np.sqrt((w**2).sum() + other) if len(at) else w
 
 
 class BlockMaxIndex:
