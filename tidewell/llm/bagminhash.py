@@ -39,7 +39,7 @@ from tidewell.llm.graph import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Signatures that agree in fewer registers than this share (4 deviations below the threshold) aren't verified.
+#: Signatures that agree in fewer registers than this share (3.5 deviations below the threshold) aren't verified.
 LEAST_AGREEMENT = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Words of the few in one block, members that meet one copy of it, members that meet one copy of a pivot's text.
 BLOCK_WORDS, SPREAD_ROWS, SALT_ROWS = 400_000, 2048, 2000
