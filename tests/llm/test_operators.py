@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from tidewell.llm import bagminhash, decontam, html_extract, mixing, quality, queries, secret_scan, spans, token_files, toxicity, winnow
-from tidewell.llm._text import shingled
+from tidewell.llm._text import shingled, span_hashes
 
 WORD = re.compile(r"(?:[^\x00-\x7f]|\w)+")
 ODD = [(1, None), (2, ""), (3, " \n "), (4, "one two"), (5, "a b c d e f g h i j"), (5, "a b c d e f g h i j"), (6, "a b c d e f g h i j"), (None, "x y z"), (7, "é" * 50_000 + " word" * 3000), (8, "AKIA" + "B" * 16 + " password: hunter22 ſecret=abcdefgh İ token=abcdef1")]
@@ -266,13 +266,17 @@ def test_block_max_search_is_exact():
 # sentence spans
 
 
-def pieces(sentence, long=30, piece=20):
-    at = [m.start() for m in WORD.finditer(sentence)]
-    cuts = [0, *(at[piece : len(at) : piece] if len(at) > long else []), len(sentence)]
+def pieces(sentence, long=30, reach=8):
+    """Cut before each word whose hash is the least of its neighbourhood, the first of equal ones."""
+    raw = sentence.encode()
+    at = [(len(sentence[: m.start()].encode()), len(sentence[: m.end()].encode()), m.start()) for m in WORD.finditer(sentence)]
+    h = span_hashes(np.frombuffer(raw, np.uint8), np.array([x[0] for x in at], np.int64), np.array([x[1] for x in at], np.int64)).tolist()
+    own = [i for i in range(1, len(h)) if all(h[j] > h[i] for j in range(max(0, i - reach), i)) and all(h[j] >= h[i] for j in range(i + 1, min(len(h), i + reach + 1)))]
+    cuts = [0, *(at[i][2] for i in own if len(at) > long), len(sentence)]
     return [sentence[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def naive_dedup(rows, sentences=2, least=25):
+def naive_dedup(rows, sentences=3, least=0):
     cut = {}
     for i, t in rows:
         cut[i] = [p for x in re.findall(r".+?(?:(?<=[.!?])[ \t\r\n\v\f]+|[ \t\r\v\f]*\n[ \t\r\n\v\f]*|\Z)", t, re.S) if x for p in pieces(x)]
@@ -295,9 +299,10 @@ def naive_dedup(rows, sentences=2, least=25):
     return out
 
 
-def test_span_dedup_matches_brute_force(docs, texts):
-    want = naive_dedup(texts.items())
-    got = spans.dedup_spans(docs).collect()
+@pytest.mark.parametrize(("sentences", "least"), [(3, 0), (2, 25)])
+def test_span_dedup_matches_brute_force(docs, texts, sentences, least):
+    want = naive_dedup(texts.items(), sentences, least)
+    got = spans.dedup_spans(docs, sentences, least).collect()
     assert len(got) == len(texts) and sum(r.n_removed for r in got) > 0
     for r in got:
         assert (r.text, r.n_removed, r.n_sentences) == want[r.doc_id], r.doc_id
@@ -318,6 +323,21 @@ def repeated_runs(rows, n=51):
     return out
 
 
+def test_spans_of_few_words_and_of_long_sentences(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = " ".join(word() for _ in range(80))
+    rows = [(1, "It rained all day. Nobody came out. We read books there. Then one left."), (2, "He wrote this: It rained all day. Nobody came out. We read books there. Good."), (3, "It rained. Nobody came out. We read books there.")]
+    rows += [(n, " ".join([*(word() for _ in range(11 * n)), passage, *(word() for _ in range(20))])) for n in (4, 5)]
+    got = {r.doc_id: r for r in spans.dedup_spans(frame(spark, rows)).collect()}
+    assert all(got[i].text == dict(rows)[i] for i in (1, 3, 4))
+    assert got[2].text == rows[1][1]  # "He wrote this: It rained all day" is another sentence
+    assert len(got[5].text.split()) < 11 * 5 + 80 + 20 - 30  # most of the passage, whatever stands before it
+    rows[1] = (2, "He wrote. It rained all day. Nobody came out. We read books there. Good.")
+    got = {r.doc_id: r for r in spans.dedup_spans(frame(spark, rows)).collect()}
+    assert got[2].text == "He wrote. Good." and got[2].removed == f"10:{rows[1][1].index('Good')}"
+
+
 def test_windowed_spans_leave_no_repeated_run(spark, docs, texts):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
@@ -325,10 +345,10 @@ def test_windowed_spans_leave_no_repeated_run(spark, docs, texts):
     # at other offsets of a sentence without end, across sentences of 30 words, and with sentences that end elsewhere
     rows = [(n, " ".join([*(word() for _ in range(7 * n + 3)), passage, *(word() for _ in range(40))])) for n in range(6)]
     rows += [(6, passage), (7, "One. " + passage.replace(" ", ". ", 30) + "."), (8, "ä" + passage + " é" + passage), (9, " ".join(word() for _ in range(300)))]
-    got = {r.doc_id: r for r in spans.dedup_spans(frame(spark, rows), window=spans.WINDOW).collect()}
+    got = {r.doc_id: r for r in spans.dedup_spans(frame(spark, rows), min_words=40, run_words=spans.RUN_WORDS, window=spans.WINDOW).collect()}
     assert len(repeated_runs(rows)) >= 6 and not repeated_runs([(i, r.text) for i, r in got.items()])
     assert got[0].text == rows[0][1] and got[9].text == rows[9][1] and got[6].n_removed > 0
-    whole = spans.dedup_spans(docs, window=spans.WINDOW).collect()
+    whole = spans.dedup_spans(docs, min_words=40, run_words=spans.RUN_WORDS, window=spans.WINDOW).collect()
     assert not repeated_runs([(r.doc_id, r.text) for r in whole])
     for given, r in [*((dict(rows), r) for r in got.values()), *((texts, r) for r in whole)]:
         left = given[r.doc_id]

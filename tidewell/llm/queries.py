@@ -51,7 +51,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.dedup_spans(table(spark, sf_dir, "documents"), window=spans.WINDOW)
+    return spans.dedup_spans(table(spark, sf_dir, "documents"), min_words=spans.RUN_WORDS, run_words=spans.RUN_WORDS, window=spans.WINDOW)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

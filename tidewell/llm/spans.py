@@ -1,14 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-Sentences end at ``.``, ``!`` or ``?`` followed by white space, or at a line break; very long ones are cut
-into pieces of ``PIECE`` words.  At every sentence starts a span: the shortest run of at least ``sentences``
-consecutive sentences that holds at least ``min_words`` words.  All spans are hashed and met globally; sentences
-that lie in a span which is not the first of its kind (least doc_id, then least position) are removed.
-
-Sentence spans miss a passage whose sentences are cut at other words or are too long for it.  With ``window``, runs of
-``min_words`` words are spans too, those whose hash is the least of ``window`` consecutive ones: their place depends on
-the words alone, so two texts that share ``min_words + window - 1`` consecutive words share a span, whatever stands around
-them.  Of these the words themselves are removed, with what follows the last of them up to the next word.
+Sentences end at ``.``, ``!`` or ``?`` followed by white space, or at a line break.  One of more than ``LONG`` words is cut
+into pieces where the text itself says so: before each word whose hash is the least of its neighbourhood (``REACH`` words to
+either side), so cuts move with the words wherever they stand.  At every sentence starts a span: ``sentences`` consecutive
+sentences, and more where those hold fewer than ``min_words`` words (0: never).  All spans are hashed and met globally;
+sentences that lie in a span which is not the first of its kind (least doc_id, then least position) are removed.  Spans are
+compared by their words in lower and upper case as they are; punctuation and white space between words don't count.
+
+Sentence spans miss a passage whose sentences are cut at other words or are too few.  With ``run_words``, runs of that many
+words are spans too, those whose hash is the least of ``window`` consecutive ones: their place depends on the words alone, so
+two texts that share ``run_words + window - 1`` consecutive words share a span, whatever stands around them.  Of these the
+words themselves are removed, with what follows the last of them up to the next word.
 
 Only hashes and positions are shuffled, one of each kind per text: later ones in the same text are known to be
 repeats.  First occurrences come from a grouped minimum with map-side combining and are written; the spans then
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from tidewell.llm._shared import Scratch
 from tidewell.llm._text import SEPARATOR, buffers, chunks, mix, span_hashes, word_spans
 
-SENTENCES, MIN_WORDS = 2, 25
-#: With MIN_WORDS, finds every repeated run of 49 words.
-WINDOW = 25
-#: A sentence of more than LONG words counts as sentences of PIECE words, cut from its start.
-LONG, PIECE = 30, 20
+SENTENCES = 3
+#: Together they find every repeated run of 49 words.
+RUN_WORDS, WINDOW = 40, 10
+#: A sentence of more than LONG words is cut before the words of least hash among REACH words to either side.
+LONG, REACH = 30, 8
 _STOP = np.array([chr(b) in ".!?" for b in range(256)])
 _SPACE = np.array([chr(b) in " \t\r\n\v\f" for b in range(256)])
 _BREAK = np.array([b == 10 for b in range(256)])
@@ -62,13 +64,20 @@ def sentence_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     closing = (breaks[end] > breaks[begin]) | ((begin > 0) & _STOP[data[np.maximum(begin - 1, 0)]])
     starts = np.concatenate([offsets[:-1][np.diff(offsets) > 0], end[closing]])
     starts = np.unique(starts[starts < n])
-    ws, _, _ = word_spans(data, offsets)
+    ws, we, _ = word_spans(data, offsets)
     w0 = np.searchsorted(ws, starts)
     words = np.diff(np.append(w0, len(ws)))
     long = np.flatnonzero(words > LONG)
-    more = (words[long] - 1) // PIECE
-    at = np.repeat(w0[long], more) + PIECE * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
-    starts = np.unique(np.concatenate([starts, ws[at]]))
+    if len(long):
+        begin, n = w0[long], words[long]
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        low, high = np.repeat(begin, n), np.repeat(begin + n, n)
+        h = span_hashes(data, ws, we)
+        cut = at > low
+        for j in range(1, REACH + 1):
+            cut &= (at - j < low) | (h[at] < h[np.maximum(at - j, 0)])
+            cut &= (at + j >= high) | (h[at] <= h[np.minimum(at + j, len(h) - 1)])
+        starts = np.unique(np.concatenate([starts, ws[at[cut]]]))
     return starts, np.searchsorted(starts, offsets)
 
 
@@ -93,13 +102,13 @@ def selected_runs(least: np.ndarray, valid: np.ndarray, opens: np.ndarray, windo
     return np.flatnonzero(valid & (low[:n] == cover))
 
 
-def sentence_spans(column: pa.Array, sentences: int, min_words: int, window: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def sentence_spans(column: pa.Array, sentences: int, min_words: int, run_words: int = 0, window: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each chunk: row of its first text, then text, first sentence, sentences and two hashes of every span.
 
-    With ``window``, spans of words follow: their first word, and less than nothing by the number of words.
+    With ``run_words``, spans of words follow: their first word, and less than nothing by the number of words.
     """
-    if window > min_words:
-        raise ValueError("window is at most min_words")
+    if run_words and not 0 < window <= run_words:
+        raise ValueError("window is from 1 to run_words")
     for row, part in chunks(column):
         data, offsets = buffers(part)
         starts, first = sentence_starts(data, offsets)
@@ -119,13 +128,13 @@ def sentence_spans(column: pa.Array, sentences: int, min_words: int, window: int
         out, of, start, count = [], doc[i], i - first[doc[i]], j - i + 1
         sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(c ^ np.uint64(salt)) * weights[: len(c)])]) for salt in (0x0123456789ABCDEF, 0x6A09E667F3BCC909)]
         a, b = w0[i], w1[j]
-        if window:
+        if run_words:
             own = np.repeat(np.arange(len(part)), np.diff(wfirst))
             at = np.arange(len(ws))
-            valid, end = at + min_words <= wfirst[own + 1], np.minimum(at + min_words, len(ws))
+            valid, end = at + run_words <= wfirst[own + 1], np.minimum(at + run_words, len(ws))
             at = selected_runs(mix((sums[0][end] - sums[0][at]) * inverse[at]), valid, at == wfirst[own], window)
-            of, start, count = np.concatenate([of, own[at]]), np.concatenate([start, at - wfirst[own[at]]]), np.concatenate([count, np.full(len(at), -min_words)])
-            a, b = np.concatenate([a, at]), np.concatenate([b, at + min_words])
+            of, start, count = np.concatenate([of, own[at]]), np.concatenate([start, at - wfirst[own[at]]]), np.concatenate([count, np.full(len(at), -run_words)])
+            a, b = np.concatenate([a, at]), np.concatenate([b, at + run_words])
         kind = np.where(count < 0, np.uint64(0xBB67AE8584CAA73B), np.uint64(0))
         for x in sums:
             out.append(mix((x[b] - x[a]) * inverse[a] + (b - a).astype(np.uint64) ^ kind).view(np.int64))
@@ -141,10 +150,10 @@ def _again(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return same
 
 
-def _emit(sentences: int, min_words: int, window: int):
+def _emit(*rules: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, doc, start, n, h1, h2 in sentence_spans(b.column(2), sentences, min_words, window):
+            for row, doc, start, n, h1, h2 in sentence_spans(b.column(2), *rules):
                 own = ~_again(doc, h1, h2)
                 doc, start, n, h1, h2 = doc[own], start[own], n[own], h1[own], h2[own]
                 at = pa.array(row + doc)
@@ -156,11 +165,11 @@ def _emit(sentences: int, min_words: int, window: int):
 CLEAN = "doc_id long, n_sentences long, n_removed long, removed string, text string"
 
 
-def _remove(sentences: int, min_words: int, window: int):
+def _remove(*rules: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, runs, counts, gone, spans, kept = b.column(0), b.column(2), [], [], [], []
-            for (row, part), (_, sdoc, sstart, sn, h1, h2) in zip(chunks(b.column(1)), sentence_spans(b.column(1), sentences, min_words, window), strict=True):
+            for (row, part), (_, sdoc, sstart, sn, h1, h2) in zip(chunks(b.column(1)), sentence_spans(b.column(1), *rules), strict=True):
                 data, offsets = buffers(part)
                 starts, first = sentence_starts(data, offsets)
                 ws, _, wfirst = word_spans(data, offsets)
@@ -201,14 +210,14 @@ def _remove(sentences: int, min_words: int, window: int):
     return run
 
 
-def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS, window: int = 0) -> DataFrame:
+def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int = 0, run_words: int = 0, window: int = 0) -> DataFrame:
     """One row per input row: sentences, of how many something was removed, code-point spans of that, and what is left."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "spans")
+    rules = sentences, min_words, run_words, window
+    scratch = Scratch(docs.sparkSession, "spans")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    spans = rows.where("doc_id is not null").mapInArrow(_emit(sentences, min_words, window), SPANS)
+    spans = rows.where("doc_id is not null").mapInArrow(_emit(*rules), SPANS)
     at = F.struct("doc_id", "start", "row_key")
     first = scratch.table("first", spans.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("h1", "h2", "first"))
     met = spans.join(first, ["h1", "h2"]).where(at > F.col("first"))
     runs = scratch.table("runs", met.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n")).alias("runs")))
-    return rows.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", "runs").mapInArrow(_remove(sentences, min_words, window), CLEAN)
+    return rows.join(runs, ["doc_id", "row_key"], "left").select("doc_id", "text", "runs").mapInArrow(_remove(*rules), CLEAN)
