@@ -39,9 +39,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
-    keyed = docs.select(*COLUMNS).withColumn("_text", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    found = decontam.contaminated(spark, keyed.select(F.col("_text").alias("doc_id"), "text"), queries.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_text")).distinct()
-    return keyed.join(found, "_text", "left_anti").select(*COLUMNS)
+    return decontam.clean_rows(spark, docs, queries.table(spark, sf_dir, "benchmark"), COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,15 +108,22 @@ def grams(t, k=5):
     return [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
 
 
+def shared(text, item):
+    """Shingles of an item, and how many of them a text holds; an item of fewer than five words is one of its own length."""
+    w, b = words(text), words(item)
+    k = min(5, len(b))
+    cut = lambda x: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)} if k else set()
+    return len(cut(b)), len(cut(b) & cut(w))
+
+
 def test_decontamination_matches_exact_containment(spark, docs, texts, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     want = set()
+    items = [(b.item_id, set(grams(b.text))) for b in bench.collect()]
+    assert all(len(words(b.text)) >= 5 for b in bench.collect())
     for i, t in texts.items():
         own = set(grams(t))
-        for b in bench.collect():
-            item = set(grams(b.text))
-            if item and len(item & own) >= 0.8 * len(item) - 1e-9:
-                want.add((i, b.item_id, len(item & own)))
+        want |= {(i, j, len(item & own)) for j, item in items if len(item & own) >= 0.8 * len(item) - 1e-9}
     got = {(r.doc_id, r.item_id, r.shared_shingles) for r in decontam.contaminated(spark, docs, bench).collect()}
     assert got == want and want
 
@@ -124,8 +131,9 @@ def test_decontamination_matches_exact_containment(spark, docs, texts, sf):
 def test_decontamination_partial_and_sliced(spark, monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(500)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(3, 60)))) for i in range(60)]
-    rows = []
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 60)))) for i in range(60)]
+    items += [(i, " ".join(rng.choices(vocabulary, k=1 + i % 4))) for i in range(60, 72)] + [(72, "What is 2+2?")]
+    rows = [(1000, "A long text that asks: what is 2 + 2? And goes on after it.")]
     for i in range(300):
         t = rng.choices(vocabulary, k=rng.randrange(0, 400))
         w = rng.choice(items)[1].split()
@@ -133,11 +141,16 @@ def test_decontamination_partial_and_sliced(spark, monkeypatch):
             w[rng.randrange(len(w))] = "zz"
         at = rng.randrange(len(t) + 1)
         rows.append((i, " ".join(t[:at] + w + t[at:])))
-    want = {(i, j) for i, t in rows for j, b in items if len(set(grams(b)) & set(grams(t))) >= 0.8 * len(set(grams(b))) - 1e-9}
-    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(spark, docs, bench).collect()} == want
-    monkeypatch.setattr(decontam, "SLICE_CHARS", 2000)
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(spark, docs, bench).collect()} == want
+    rows += [(1001, None), (1002, items[70][1]), (1002, items[70][1]), (None, items[0][1])]
+    want = Counter((i, j, *c, c[1] / c[0]) for i, t in rows for j, b in items for c in [shared(t, b)] if c[1] >= 0.8 * c[0] - 1e-9)
+    assert any(x[:2] == (1000, 72) for x in want) and any(x[2] > 5 and x[3] < x[2] for x in want)
+    docs, bench = frame(spark, rows), spark.createDataFrame([*items, (900, None), (901, " ,")], "item_id long, text string")
+    assert Counter(map(tuple, decontam.contaminated(spark, docs, bench).collect())) == want
+    clean = lambda: Counter(r.text for r in decontam.clean_rows(spark, docs, bench, ["doc_id", "text", "lang"]).collect())
+    kept = clean()
+    assert kept == Counter(t for i, t in rows if not any(shared(t, b)[1] >= 0.8 * shared(t, b)[0] - 1e-9 for _, b in items))
+    monkeypatch.setattr(decontam, "SLICE_CHARS", 2000)  # the benchmark stays in tables
+    assert Counter(map(tuple, decontam.contaminated(spark, docs, bench).collect())) == want and clean() == kept
 
 
 # token files
@@ -614,3 +627,18 @@ def test_queries_match_their_sql(spark, sf, name):
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     assert sorted(got[cols].round(9).itertuples(index=False, name=None)) == sorted(want[cols].round(9).itertuples(index=False, name=None))
+
+
+def test_decontamination_sql_seeks_short_items(spark, tmp_path):
+    import duckdb
+
+    docs = frame(spark, [(1, "well, what is 2 + 2? let me see"), (2, "what is it"), (3, None), (4, "one two three four five six"), (5, "2")])
+    bench = spark.createDataFrame([(1, "What is 2+2?"), (2, "two three"), (3, ""), (4, "2"), (5, "two three four five six")], "item_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = {tuple(r)[:2] for r in queries.op3_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (1, 4), (4, 2), (4, 5), (5, 4)}
+    assert got == {r[:2] for r in con.execute(queries.oracle_sql()["op3_decontamination"]).fetchall()}

@@ -104,10 +104,16 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarr
     return mix(h), begin
 
 
-def shingled(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk of a text column: row of its first text, shingle hashes, their starts, word counts."""
+def hashed(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each chunk of a text column: row of its first text, word hashes, and the first word of each text (n + 1 values)."""
     for at, part in chunks(column):
         data, offsets = buffers(pc.utf8_lower(part))
         starts, ends, first = word_spans(data, offsets)
-        h, begin = shingles(span_hashes(data, starts, ends), first, k)
+        yield at, span_hashes(data, starts, ends), first
+
+
+def shingled(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each chunk of a text column: row of its first text, shingle hashes, their starts, word counts."""
+    for at, words, first in hashed(column):
+        h, begin = shingles(words, first, k)
         yield at, h, begin, np.diff(first)

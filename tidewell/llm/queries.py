@@ -106,9 +106,15 @@ def _grams(table_name: str, id_column: str, prefix: str) -> str:
     return out.replace("FROM w)", f"FROM {prefix}w)").replace("FROM g) GROUP", f"FROM {prefix}g) GROUP")
 
 
-_OP3 = f"""WITH {_grams("documents", "doc_id", "d")}, {_grams("benchmark", "item_id", "b")}, n AS (SELECT id, count(*) AS n FROM bs GROUP BY 1),
-m AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS k FROM ds JOIN bs ON ds.g = bs.g GROUP BY 1, 2)
-SELECT doc_id, item_id, n AS item_shingles, k AS shared_shingles, k / n AS containment FROM m JOIN n ON n.id = item_id WHERE k >= 0.8::DOUBLE * n - 1e-9::DOUBLE"""
+#: An item of fewer than five words is sought as one run of its own length.
+_OP3 = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[^\\x00-\\x7F]|[0-9A-Za-z_])+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[^\\x00-\\x7F]|[0-9A-Za-z_])+') AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM d JOIN sizes ON len(w) >= k),
+bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM b JOIN sizes ON k = least(len(w), 5)),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+m AS (SELECT doc_id, item_id, count(*) AS s FROM ds JOIN bs USING (k, g) GROUP BY 1, 2)
+SELECT doc_id, item_id, n AS item_shingles, s AS shared_shingles, s / n AS containment FROM m JOIN n USING (item_id) WHERE s >= 0.8::DOUBLE * n - 1e-9::DOUBLE"""
 
 _OP8 = f"""WITH RECURSIVE {_grams("documents", "doc_id", "d")}, t AS (SELECT id, sum(n) AS n FROM ds GROUP BY 1),
 p AS (SELECT a.id AS u, b.id AS v, sum(least(a.n, b.n)) AS k FROM ds a JOIN ds b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
