@@ -1,7 +1,7 @@
 """Scratch tables that outlive executors, and Arrow batch bounds.
 
-Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``.  Only when
-that setting is absent (unit tests on one machine) is a local folder made.
+Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``.  Where that setting
+is absent, a local folder is made if the master is local (tests on one machine), and else it is an error.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one, set on the context, only where none is named."""
+    """The folder that the cluster names; where none is named, a local one, if the master is local too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -34,11 +36,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         bound_batches(spark)
 
     def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Writes ``df`` and reads it back: cuts lineage and survives lost executors."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -48,6 +52,11 @@ class Scratch:
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these."""
+        self.drop(*sorted(self.names - set(names)))
 
 
 def bound_batches(spark: SparkSession) -> None:
