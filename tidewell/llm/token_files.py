@@ -13,11 +13,11 @@ File format (a Parquet folder, so that Spark's committed writes and any file sys
               checkpoints (bits from each STRIDE-th id to the next, 16 bits each), payload (bytes)
     buckets   bucket, start, n_tokens    ids of all documents in lower buckets
 
-Buckets are ranges of doc_id; within one, blocks follow ascending doc_id and hold whole documents.  Every
+Buckets are ranges of doc_id, and of hashes of texts within one; in a bucket, blocks follow ascending doc_id and hold whole documents.  Every
 block is decoded by itself, all its checkpoints in lockstep through one table of as many entries as the longest code has values.
 
 Defined cases: a null text is empty; an empty text is the end id alone; null doc_ids come before all
-others; repeated doc_ids follow one another in the order of their text; an empty table makes empty files; extra
+others; repeated doc_ids follow one another in the order of their text's hash; an empty table makes empty files; extra
 columns are ignored.
 """
 
@@ -31,14 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm._shared import Scratch, partitions, release
 
 END, LIMIT, STRIDE, TOTALS, SLICE = 0, 20, 128, -1, 1 << 15
 #: Ids gathered before a block is closed; pieces that a worker keeps with their ids (twice as many at most).
 BLOCK_TOKENS, CACHE = 1 << 19, 400_000
+#: Text of one bucket, about.
+BUCKET_BYTES = 64 << 20
 _U = np.uint64
 _LINES = re.compile(r"(\S+)\n(\S+)")
 
@@ -326,28 +329,34 @@ def _decode(book):
     return run
 
 
-def range_bounds(docs: DataFrame, parts: int) -> list[int]:
-    """Bounds that cut doc_id into about equal buckets."""
-    if parts < 2:
-        return []
-    q = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(50 * parts))).first()[0]
-    return sorted(set(q or []))
+def count_ids(docs: DataFrame, tokenizer_path: str, name: str) -> DataFrame:
+    """All columns, and under ``name`` (instead of a column so called) the ids of the text with its end id."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias("_text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder.of(tokenizer_path)
+        for b in batches:
+            n = pa.array([len(encode(x.as_py() or "")) // 4 + 1 for x in b.column(b.num_columns - 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*b.schema.names[:-1], name])
 
-def bucket_of(column, bounds: list[int]):
-    """The number of bounds that are at most the value; null counts as least."""
-    if not bounds:
-        return F.lit(0)
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= column)))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.LongType())]))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: Scratch, parts: int | None = None) -> None:
-    """Writes codebook, blocks and buckets of all documents, in ascending doc_id order."""
+    """Writes codebook, blocks and buckets of all documents, in ascending doc_id order.
+
+    A bucket is a range of (doc_id, hash of the text), so a doc_id that very many rows share is split too; the number
+    of buckets follows the bytes of text.
+    """
     spark = docs.sparkSession
-    parts = parts or 2 * partitions(spark)
-    bounds = range_bounds(docs, parts)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("bucket", bucket_of(F.col("doc_id"), bounds).cast("int")).select("bucket", "doc_id", "text")
-    ids = out.table("ids", rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "text").mapInArrow(_tokenise(tokenizer_path), IDS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("string").alias("text"))
+    if not parts:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(partitions(spark), -(-size // BUCKET_BYTES))
+    order = ["doc_id", "tag", "text"]
+    rows = rows.repartitionByRange(parts, "doc_id", "tag").sortWithinPartitions(*order).select(F.spark_partition_id().alias("bucket"), "doc_id", "text")
+    ids = out.table("ids", rows.mapInArrow(_tokenise(tokenizer_path), IDS))
     release(spark)  # the shuffled texts
     counts = ids.where(F.col("bucket") == TOTALS).select("planes").mapInArrow(_count, COUNTS).groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row per id of the vocabulary at most
     lengths = code_lengths(counts["n"].to_numpy(np.int64))
@@ -369,7 +378,8 @@ def read_tokens(spark: SparkSession, root: str) -> DataFrame:
     book = spark.sparkContext.broadcast(Codebook(rows["id"].to_numpy(np.int64), rows["length"].to_numpy(np.int64)))
     blocks = spark.read.schema(BLOCKS).parquet(f"{root}/blocks")
     buckets = spark.read.schema("bucket int, start long, n_tokens long").parquet(f"{root}/buckets").select("bucket", F.col("start").alias("base"))
-    before = blocks.select("bucket", "block", "n_tokens").alias("x").join(blocks.select(F.col("bucket").alias("b"), F.col("block").alias("k"), F.col("n_tokens").alias("n")).alias("y"), F.expr("bucket = b and k < block"), "left").groupBy("bucket", "block").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("within"))
+    earlier = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    before = blocks.select("bucket", "block", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("within"))
     placed = before.join(buckets, "bucket").select("bucket", "block", (F.col("base") + F.col("within")).alias("start"))
     rows = blocks.join(F.broadcast(placed) if placed_is_small(blocks) else placed, ["bucket", "block"])
     return rows.select("bucket", "start", "doc_ids", "lengths", "n_tokens", "checkpoints", "payload").mapInArrow(_decode(book), DECODED).drop("bucket")
