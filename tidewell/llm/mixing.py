@@ -13,8 +13,9 @@ Only totals per leaf come to the driver.
 Defined cases: null levels form a leaf of their own; null or empty texts have 0 tokens and
 cost nothing, so they go along where a prefix reaches them; rows of equal doc_id are ordered by their text's
 hash, wholly equal rows share a place and are taken or left together; a weight of 0 or a missing one (default 1) is possible;
-a budget beyond all capacities takes everything; an empty table gives an empty result; extra columns are kept
-(own columns are prefixed ``mix_``).
+a budget beyond all capacities takes everything; an empty table gives an empty result; extra columns are kept, whatever
+their names, but for ``mix_epoch``, ``mix_tokens`` and ``mix_budget``, which are replaced.  Words are what stands between
+white space of any kind; a text of white space alone has none.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from tidewell.llm._shared import Scratch
 
 #: Rows of a slot, about.
 SLOT_ROWS = 2000
+OWN = ["mix_epoch", "mix_tokens", "mix_budget"]
 
 
 def water_fill(budget: int, capacity: dict, weight: dict) -> dict:
@@ -74,8 +76,7 @@ def budgets(leaves: dict[tuple, int], budget: int, weight: Callable[[tuple], flo
 
 def word_tokens(text) -> F.Column:
     """Words between white space, as the measure of a budget."""
-    body = F.trim(F.coalesce(text.cast("string"), F.lit("")))
-    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, r"\s+"))).cast("long")
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 def mix(docs: DataFrame, levels: list[str], budget: float, weight: Callable[[tuple], float] = lambda path: 1.0, max_epochs: int = 1, seed: int = 17, tokens=None) -> DataFrame:
@@ -85,10 +86,14 @@ def mix(docs: DataFrame, levels: list[str], budget: float, weight: Callable[[tup
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    own = docs.withColumn("mix_tokens", tokens if tokens is not None else word_tokens(F.col("text"))).withColumn("mix_path", F.array(*[F.col(c).cast("string") for c in levels]))
-    leaves = own.groupBy("mix_path").agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n")).collect()  # a row per leaf
-    sizes = {tuple(r.mix_path): int(r.t) for r in leaves}
-    rows = {tuple(r.mix_path): r.n for r in leaves}
+    # columns go by their place, so that no name of the input can clash with those of the plan
+    kept = [c for c in docs.columns if c.lower() not in OWN]
+    place_ = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64(F.col("text").cast("string"))))
+    measure = tokens if tokens is not None else word_tokens(F.col("text"))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], measure.cast("long").alias("mix_tokens"), F.array(*[F.col(c).cast("string") for c in levels]).alias("mix_own"), place_.alias("mix_name"))
+    leaves = own.groupBy("mix_own").agg(F.sum("mix_tokens").alias("t"), F.count("*").alias("n")).collect()  # a row per leaf
+    sizes = {tuple(r.mix_own): int(r.t) for r in leaves}
+    rows = {tuple(r.mix_own): r.n for r in leaves}
     total = int(budget * sum(sizes.values())) if isinstance(budget, float) else budget
     given = budgets(sizes, total, weight, max_epochs)
     plan = []
@@ -96,23 +101,25 @@ def mix(docs: DataFrame, levels: list[str], budget: float, weight: Callable[[tup
         whole = min(given[path] // tokens_, max_epochs) if tokens_ else 1
         slots = -(-rows[path] // SLOT_ROWS)
         plan += [(list(path), e, slots, given[path], -1 if e < whole else given[path] - whole * tokens_) for e in range(min(whole + 1, max_epochs))]
-    plan_df = spark.createDataFrame(plan, "mix_path array<string>, mix_epoch int, slots int, mix_budget long, rest long")
-    place = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("mix_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text"))))
+    plan_df = spark.createDataFrame(plan, "mix_path array<string>, mix_epoch int, mix_slots int, mix_budget long, mix_rest long")
+    place = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("mix_epoch").cast("string"), "mix_name"))
 
     def spread(by_leaf: DataFrame) -> DataFrame:
         """Every row once per epoch of its leaf, with its place and slot there."""
         by_leaf = F.broadcast(by_leaf) if len(plan) <= 20_000 else by_leaf  # a leaf's row takes about 100 bytes
-        x = own.withColumnRenamed("mix_path", "mix_own").join(by_leaf, F.col("mix_own").eqNullSafe(F.col("mix_path"))).drop("mix_own").withColumn("mix_place", place)
-        return x.withColumn("mix_slot", F.floor(F.conv(F.substring("mix_place", 1, 12), 16, 10).cast("long") * F.col("slots") / F.lit(float(1 << 48))).cast("int"))
+        x = own.join(by_leaf, F.col("mix_own").eqNullSafe(F.col("mix_path"))).drop("mix_own").withColumn("mix_place", place)
+        return x.withColumn("mix_slot", F.floor(F.conv(F.substring("mix_place", 1, 12), 16, 10).cast("long") * F.col("mix_slots") / F.lit(float(1 << 48))).cast("int"))
 
     wide = spread(plan_df)
     key = ["mix_path", "mix_epoch"]
-    sums = scratch.table("sums", wide.where("rest >= 0").groupBy(*key, "mix_slot", "rest").agg(F.sum("mix_tokens").alias("sum")))
+    sums = scratch.table("sums", wide.where("mix_rest >= 0").groupBy(*key, "mix_slot", "mix_rest").agg(F.sum("mix_tokens").alias("mix_sum")))
     through = Window.partitionBy(*key).orderBy("mix_slot")  # rows per slot, not per document
-    ends = sums.withColumn("to", F.sum("sum").over(through)).where("to > rest and to - sum <= rest").groupBy(*key).agg(F.min(F.struct("mix_slot", (F.col("rest") - F.col("to") + F.col("sum")).alias("room"))).alias("x"))
-    cuts = scratch.table("cuts", plan_df.join(ends, key, "left").select(*key, "slots", "mix_budget", F.coalesce("x.mix_slot", "slots").alias("cut"), F.coalesce("x.room", F.lit(0)).alias("mix_room")))
-    placed = spread(cuts)
+    ends = sums.withColumn("mix_to", F.sum("mix_sum").over(through)).where("mix_to > mix_rest and mix_to - mix_sum <= mix_rest")
+    ends = ends.groupBy(*key).agg(F.min(F.struct("mix_slot", (F.col("mix_rest") - F.col("mix_to") + F.col("mix_sum")).alias("room"))).alias("x"))
+    cuts = plan_df.join(ends, key, "left").select(*key, "mix_slots", "mix_budget", F.coalesce("x.mix_slot", "mix_slots").alias("mix_cut"), F.coalesce("x.room", F.lit(0)).alias("mix_room"))
+    placed = spread(scratch.table("cuts", cuts))
     inside = Window.partitionBy(*key).orderBy("mix_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # of one slot
-    last = placed.where("mix_slot = cut").withColumn("mix_upto", F.sum("mix_tokens").over(inside)).where("mix_upto <= mix_room")
-    out = [*docs.columns, "mix_epoch", "mix_tokens", "mix_budget"]
-    return placed.where("mix_slot < cut").select(*out).unionByName(last.select(*out))
+    last = placed.where("mix_slot = mix_cut").withColumn("mix_upto", F.sum("mix_tokens").over(inside)).where("mix_upto <= mix_room")
+    out = [*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *OWN]
+    scratch.keep("cuts")
+    return placed.where("mix_slot < mix_cut").select(*out).unionByName(last.select(*out))

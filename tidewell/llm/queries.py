@@ -63,8 +63,9 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_domain(docs: DataFrame) -> DataFrame:
-    """The tables have no domain; sources are dealt to four by their crc32."""
-    return docs.withColumn("domain", F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(4)).cast("string")))
+    """The tables have no domain; sources are dealt to four by their crc32 (an extra column of that name is replaced)."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return docs.withColumn("domain", F.concat(F.lit("d"), F.pmod(F.crc32(source), F.lit(4)).cast("string")))
 
 
 def target_weight(path: tuple) -> float:
