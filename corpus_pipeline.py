@@ -4,8 +4,8 @@ Every stage reads what its predecessor wrote; the last returns the digest of the
 
 Defined cases, for every stage: a null text counts as empty and passes like an empty one; null values of other
 columns pass unchanged; extra columns are dropped, whatever their names; an empty table gives an empty one.  Rows
-without a doc_id are never near duplicates; rows that share a doc_id leave together where one of them is a copy of
-another document, and of wholly equal rows one stays; benchmark items are sought by text, whatever the doc_id; the token
+without a doc_id are never near duplicates; rows that share a doc_id are told apart by their texts, so each class keeps
+one row, and of wholly equal rows one stays; benchmark items are sought by text, whatever the doc_id; the token
 files hold rows of one doc_id one after another.
 """
 
@@ -29,12 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates, that of least doc_id; of wholly equal rows one."""
-    classes = bagminhash.near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    whole = kept.where("doc_id is null")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(whole)
+    """Keeps one document of each class of near duplicates, that of least doc_id, and one of wholly equal rows."""
+    return bagminhash.one_of_each(docs, COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +39,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Selects documents by the budgets of their domain, language and source; none twice."""
-    return mixing.mix(queries.with_domain(docs), queries.LEVELS, budget=MIX_SHARE, weight=queries.target_weight, max_epochs=1).select(*COLUMNS)
+    """Selects documents by the budgets of their domain, language and source in ids of the tokenizer; none twice."""
+    counted = token_files.count_ids(docs.select(*COLUMNS), queries.tokenizer_path(), "n_ids")
+    counted = Scratch(spark, "counted").table("counted", counted)  # so that texts are encoded once
+    mixed = mixing.mix(queries.with_domain(counted), queries.LEVELS, budget=MIX_SHARE, weight=queries.target_weight, max_epochs=1, tokens=F.col("n_ids"))
+    return mixed.select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

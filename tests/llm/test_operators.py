@@ -518,6 +518,19 @@ def test_mixing_takes_prefixes_of_seeded_epochs(spark, docs, texts, monkeypatch)
     assert Counter((r.doc_id, r.mix_epoch) for r in got) == want
 
 
+def test_mixing_with_odd_texts_and_clashing_columns(spark):
+    odd = ["\n", "\nfoo", "a\n", " \t x  y\u000bz ", "", None, "one two"]
+    d = spark.createDataFrame([(i, t, 3, "s") for i, t in enumerate(odd)], "doc_id long, text string, n long, source string")
+    got = {r.doc_id: r.t for r in d.select("doc_id", mixing.word_tokens(d.text).alias("t")).collect()}
+    assert [got[i] for i in range(len(odd))] == [len((t or "").split()) for t in odd]
+    names = ["slots", "rest", "cut", "mix_epoch", "mix_slot", "mix_place", "mix_path", "c0", "domain", "Mix_Budget", "a.b"]
+    more = d.selectExpr("doc_id", "text", "n", "n as source", "'en' as lang", *[f"n as `{c}`" for c in names])
+    mixed = mixing.mix(queries.with_domain(more), queries.LEVELS, 1.0)
+    assert sorted(mixed.columns) == sorted([*[c for c in more.columns if c not in ("mix_epoch", "Mix_Budget")], *mixing.OWN])
+    rows = mixed.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(odd))) and all(r.slots == r.cut == r["c0"] == r.mix_path == 3 for r in rows)
+
+
 # defined cases
 
 
@@ -603,6 +616,9 @@ def test_pipeline_stages_in_defined_cases(spark, sf):
             assert got.columns == p.COLUMNS and got.count() <= n
         assert p.quality_stage(spark, d, sf).columns == p.COLUMNS
         assert p.token_stage(spark, d, sf).count() == n
+    a, b = "a b c d e f g h i j k l", "some other text that has more than five words"
+    shared = p.near_dedup_stage(spark, frame(spark, [(1, a), (3, a), (3, b), (7, b), (8, None), (8, None), (None, a)]), sf).collect()
+    assert sorted((str(r.doc_id), r.text) for r in shared) == sorted([("1", a), ("3", b), ("8", None), ("None", a)], key=str)
     kept = [(r.doc_id, r.text) for r in p.near_dedup_stage(spark, odd, sf).collect()]
     assert sorted(kept, key=str) == sorted([x for i, x in enumerate(ODD) if i not in (5, 6)], key=str)
     item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text

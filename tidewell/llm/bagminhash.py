@@ -14,8 +14,8 @@ candidates that share a band:
 1. exact copies (equal multisets by a 128-bit key) fold into one node;
 2. every bucket's least node is its pivot; each member is verified against it, and the links give components;
 3. where the members of a pivot still fall into several components, those outside the largest are compared, in
-   blocks, with all members of other components: signatures first, then exactly where they may reach the
-   threshold.  So a chain that misses the pivot is found too; only links leave a block, and nothing is capped.
+   blocks, with all members of other components, exactly.  So a chain that misses the pivot is found too; only links
+   leave a block, nothing is capped, and no candidate is left out by an estimate.
 
 Defined cases: texts without words (null, empty, punctuation only) are compared with nothing and each is
 its own class; texts of fewer than five words are one shingle; null doc_ids are not compared, and
@@ -39,8 +39,6 @@ from tidewell.llm.graph import components
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Signatures that agree in fewer registers than this share (3.5 deviations below the threshold) aren't verified.
-LEAST_AGREEMENT = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Words of the few in one block, members that meet one copy of it, members that meet one copy of a pivot's text.
 BLOCK_WORDS, SPREAD_ROWS, SALT_ROWS = 400_000, 2048, 2000
 _U = np.uint64
@@ -118,7 +116,7 @@ def content_keys(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     return keys[0], keys[1]
 
 
-SIGNED = "doc_id long, tag long, k1 long, k2 long, words long, bands array<long>, folded binary"
+SIGNED = "doc_id long, tag long, k1 long, k2 long, words long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +137,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 bands = mix(bands ^ sig[:, r::ROWS])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).reshape(-1)))
-            folded = sig.astype(np.uint8).tobytes()
-            folds = pa.array([folded[i * REGISTERS : (i + 1) * REGISTERS] for i in range(n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), b.column(1).slice(row, n), pa.array(k1), pa.array(k2), pa.array(words.astype(np.int64)), flat, folds], ["doc_id", "tag", "k1", "k2", "words", "bands", "folded"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), b.column(1).slice(row, n), pa.array(k1), pa.array(k2), pa.array(words.astype(np.int64)), flat], ["doc_id", "tag", "k1", "k2", "words", "bands"])
 
 
 PAIRS = "u long, v long"
@@ -207,16 +203,35 @@ class _Merged(dict):
         return x
 
 
+class _Few:
+    """Multisets side by side, as one array of elements with the multisets that hold them."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        element = np.concatenate([e for e, _ in sets])
+        order = np.argsort(element, kind="stable")
+        self.element = element[order]
+        self.owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])[order]
+        self.weight = np.concatenate([w for _, w in sets])[order]
+        self.total = np.array([w.sum() for _, w in sets])
+
+    def similarities(self, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Weighted Jaccard similarity of every multiset and ``own``."""
+        lo, hi = np.searchsorted(self.element, own[0], "left"), np.searchsorted(self.element, own[0], "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        both = np.bincount(self.owner[at], np.minimum(self.weight[at], np.repeat(own[1], n)), len(self.total))
+        return both / (self.total + own[1].sum() - both)
+
+
 def _blocks(threshold: float):
-    """Rows (block key, side, node, component, folded, text), side false (the few) before side true (all), to links."""
+    """Rows (block key, side, node, component, text), side false (the few) before side true (all), to links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, few, table, merged = None, [], None, _Merged()
         for b in batches:
             keys, side, node, comp = (b.column(i).to_pylist() for i in range(4))
-            folded = np.frombuffer(b"".join(x.as_py() for x in b.column(4)), np.uint8).reshape(-1, REGISTERS)
             out = []
-            for row, h, begin, words in shingled(b.column(5), SHINGLE):
+            for row, h, begin, words in shingled(b.column(4), SHINGLE):
                 doc, element, weight = multisets(h, begin)
                 cut = np.searchsorted(doc, np.arange(len(words) + 1))
                 for d in range(len(words)):
@@ -224,23 +239,16 @@ def _blocks(threshold: float):
                     if keys[i] != key:
                         key, few, table = keys[i], [], None
                     own = element[cut[d] : cut[d + 1]], weight[cut[d] : cut[d + 1]]
-                    total = int(own[1].sum())
                     if not side[i]:
-                        few.append((node[i], comp[i], folded[i], own, total))
+                        few.append((node[i], comp[i], own))
                         table = None
-                        continue
-                    if not few:
-                        continue
-                    if table is None:
-                        table = np.stack([x[2] for x in few]), np.array([x[4] for x in few])
-                    near = (table[0] == folded[i]).sum(1) >= LEAST_AGREEMENT * REGISTERS
-                    near &= (np.minimum(table[1], total) >= threshold * np.maximum(table[1], total) - 1e-9)
-                    for x in np.flatnonzero(near).tolist():
-                        other, c, _, theirs, _ = few[x]
-                        r, q = merged.root(c), merged.root(comp[i])
-                        if other != node[i] and r != q and _jaccard(theirs, own) >= threshold - 1e-12:
-                            merged[max(r, q)] = min(r, q)
-                            out.append((other, node[i]))
+                    elif few:
+                        table = table or _Few([x[2] for x in few])
+                        for x in np.flatnonzero(table.similarities(own) >= threshold - 1e-12).tolist():
+                            r, q = merged.root(few[x][1]), merged.root(comp[i])
+                            if r != q:
+                                merged[max(r, q)] = min(r, q)
+                                out.append((few[x][0], node[i]))
             cols = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
 
@@ -250,7 +258,7 @@ def _blocks(threshold: float):
 def _leftover(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataFrame, threshold: float) -> DataFrame:
     """Links across components among the members of a pivot, found in blocks.
 
-    pairs: u pivot, v member; nodes: node, doc_id, tag, words, folded.  Two nodes of one bucket share its pivot.
+    pairs: u pivot, v member; nodes: node, doc_id, tag, words.  Two nodes of one bucket share its pivot.
     """
     n = partitions(pairs.sparkSession)
     members = pairs.select(F.col("u").alias("pivot"), F.col("v").alias("node")).unionByName(pairs.select(F.col("u").alias("pivot"), F.col("u").alias("node")).distinct())
@@ -259,34 +267,56 @@ def _leftover(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, comps: DataF
     largest = parts.groupBy("pivot").agg(F.max(F.struct("n", "w", "component")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
     size = largest.select("pivot", F.col("top.component").alias("top"), F.ceil((F.col("w") - F.col("top.w")) / BLOCK_WORDS).cast("int").alias("blocks"), F.ceil(F.col("n") / SPREAD_ROWS).cast("int").alias("spread"))
     wanted = ids.select("pivot", "node", "component").join(size, "pivot")
-    own = nodes.join(wanted.select("node").distinct(), "node").join(texts, ["doc_id", "tag"]).select("node", "folded", "text").dropDuplicates(["node"])
+    own = nodes.join(wanted.select("node").distinct(), "node").join(texts, ["doc_id", "tag"]).select("node", "text").dropDuplicates(["node"])
     block, part = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("spread"))
     key = lambda x, y: F.concat_ws("/", "pivot", x, y)
     few = wanted.where("component <> top").select("*", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("y")).select(key(block, F.col("y")).alias("key"), F.lit(False).alias("side"), "node", "component")
     every = wanted.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select(key(F.col("x"), part).alias("key"), F.lit(True).alias("side"), "node", "component")
-    rows = few.unionByName(every).join(own, "node").select("key", "side", "node", "component", "folded", "text")
+    rows = few.unionByName(every).join(own, "node").select("key", "side", "node", "component", "text")
     return rows.repartition(n, "key").sortWithinPartitions("key", "side").mapInArrow(_blocks(threshold), PAIRS)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, class_size, words) for every input row; class_id is the least doc_id of its class."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "bagminhash")
+def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, tag, words, k1, k2: null where the row isn't compared), and the classes (k1, k2, component, class_id, class_size)."""
+    scratch = Scratch(docs.sparkSession, "bagminhash")
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     signed = scratch.table("signed", texts.mapInArrow(_sign, SIGNED).withColumn("row", F.monotonically_increasing_id()))
     live = signed.where("words > 0 and doc_id is not null")
     folds = scratch.table("nodes", live.groupBy("k1", "k2").agg(F.min(F.struct("row", "doc_id", "tag", "words")).alias("x"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).select("k1", "k2", "x.*", "least", "copies").withColumnRenamed("row", "node"))
-    folded = folds.join(signed.select(F.col("row").alias("node"), "folded"), "node")
     bands = signed.join(folds.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "bh"))
     pivots = bands.groupBy("band", "bh").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").select("band", "bh", "u")
-    tagged = folds.select("node", "doc_id", "tag")
     pairs = scratch.table("pairs", bands.join(pivots, ["band", "bh"]).where("node <> u").select("u", F.col("node").alias("v")).distinct())
-    links = scratch.table("links", verified(pairs, tagged, texts, threshold))
+    links = scratch.table("links", verified(pairs, folds.select("node", "doc_id", "tag"), texts, threshold))
     comps = components(links, scratch, "first")
-    later = scratch.table("later", _leftover(pairs, folded, texts, comps, threshold))
+    later = scratch.table("later", _leftover(pairs, folds.select("node", "doc_id", "tag", "words"), texts, comps, threshold))
     comps = scratch.table("comps", components(links.unionByName(later), scratch, "second"))
     classed = folds.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = classed.join(classed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "component").select("k1", "k2", "class_id", "class_size")
-    out = signed.select("doc_id", "words", F.when(F.expr("words > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2").join(named, ["k1", "k2"], "left")
+    named = classed.join(classed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")), "component").select("k1", "k2", "component", "class_id", "class_size")
+    named = scratch.table("classes", named)
+    scratch.keep("signed", "classes")
+    return signed.select("doc_id", "tag", "words", F.when(F.expr("words > 0 and doc_id is not null"), F.col("k1")).alias("k1"), "k2"), named
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, class_size, words) for every input row; class_id is the least doc_id of its class."""
+    rows, named = _classified(docs, threshold)
+    out = rows.join(named, ["k1", "k2"], "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "words")
+
+
+def one_of_each(docs: DataFrame, columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """The given columns of one row of each class, that of least doc_id (of those, of least text hash), and of all rows that aren't compared.
+
+    Decided by row, so documents that share a doc_id are told apart by their texts; of wholly equal rows one stays.
+    """
+    rows, named = _classified(docs, threshold)
+    key = ["doc_id", "tag"]
+    compared = rows.join(named.select("k1", "k2", "component"), ["k1", "k2"])
+    first = compared.groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
+    gone = compared.join(first, "component").where(F.struct(*key) > F.col("first")).select(*key).distinct()
+    again = rows.where("doc_id is not null").groupBy(*key).count().where("count > 1").select(*key).join(gone, key, "left_anti")
+    own = docs.select(*columns, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_tag"))
+    named_ = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+    alone = own.join(named_(gone.unionByName(again)), ["_id", "_tag"], "left_anti")
+    return alone.unionByName(own.join(named_(again), ["_id", "_tag"]).dropDuplicates(["_id", "_tag"]).select(*own.columns)).select(*columns)
