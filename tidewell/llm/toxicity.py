@@ -8,7 +8,7 @@ from the highest bound down until no bound can beat the k-th best, so the neighb
 votes, weighted by similarity, are drawn towards the base rate, so that few or distant neighbours say little.
 
 Examples are at most ``SAMPLE`` labelled rows of each label, those of least hash of doc_id, one of each group
-of near copies; everything else covers all rows.  Labels, lang, source and doc_id are inputs of no score.
+of near copies; document frequencies are counted over all documents.  Labels, lang, source and doc_id are inputs of no score.
 
 Defined cases: null texts are empty; a text without terms of the vocabulary (an empty one too) gets the base
 rate; a doc_id with several labels takes the highest; null labels aren't learnt; without examples of
@@ -158,6 +158,23 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(list(seen[label]), pa.string()), pa.array([label] * len(seen[label]), pa.int32()), pa.array(list(seen[label].values()), pa.int64())], ["term", "label", "n"])
 
 
+def _presence(vocabulary: dict[str, int]):
+    """(number of a term, texts that hold it), and under -1 all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, total = _Lookup(vocabulary), np.zeros(len(vocabulary), np.int64)
+        rows = 0
+        for b in batches:
+            rows += b.num_rows
+            for text in b.column(0):
+                for t in {t for w in set(_WORD.findall((text.as_py() or "").lower())) for t in lookup[w]}:
+                    total[t] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], rows))], ["at", "n"])
+
+    return run
+
+
 def _contexts(terms: set[str]):
     """(term, label, hash of the words before and after) for every occurrence of the given terms."""
 
@@ -218,10 +235,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", f
     contexts = seen.groupBy("term").agg(spread(1).alias("u"), spread(0).alias("v"))
     plain = spark.createDataFrame([(r.term, r.a, r.b) for r in first], "term string, a long, b long")
     apart = plain.join(contexts, "term").select("term", F.least("a", "u").alias("a"), F.least("b", "v").alias("b"))
-    picked, n = _telling(apart, t, c, least).orderBy(F.desc("ratio"), "term").collect(), float(c + t)
+    picked = _telling(apart, t, c, least).orderBy(F.desc("ratio"), "term").collect()
     counts.unpersist()
     vocabulary = {r.term: i for i, r in enumerate(picked)}
-    idf = np.array([np.log(1 + n / (r.a + r.b)) for r in picked])
+    seen = texts.select("text").mapInArrow(_presence(vocabulary), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # a row per term
+    found = {r.at: r.n for r in seen}
+    idf = np.array([np.log(1 + found[-1] / max(found.get(i, 0), 1)) for i in range(len(picked))])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(vocabulary)
@@ -256,3 +275,10 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(near, pa.string()), pa.array(strong, pa.string())], ["doc_id", "score", "neighbours", "terms"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
+
+
+def reliability(scored: DataFrame, labels: DataFrame, label_col: str = "toxic", bins: int = 10) -> DataFrame:
+    """How far scores are calibrated: for each bin of scores its labelled rows, their mean score and the share of label 1."""
+    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).alias("_y"))
+    at = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    return scored.join(known, "doc_id").groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("_y").alias("share"))
