@@ -427,22 +427,44 @@ def test_winnowing_selects_rightmost_minima(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices("ab", k=rng.randrange(0, 90)))) for i in range(60)]
     df = winnow.with_fingerprint(frame(spark, rows), "text", "packed").selectExpr("doc_id", "packed", "text")
-    full = (1 << 24) - 1
+    full, gram, window = (1 << 31) - 1, winnow.GRAM, winnow.WINDOW
     every = {}
     for r in df.collect():
-        n = max(len(r.text.split()) - 4, 1 if r.text.split() else 0)
-        got = [(x >> 24, full - (x & full)) for x in r.packed]
+        n = max(len(r.text.split()) - gram + 1, 1 if r.text.split() else 0)
+        got = [(x >> 31, full - (x & full)) for x in r.packed]
         assert all(0 <= p < n for _, p in got) and [p for _, p in got] == sorted(p for _, p in got)
         for h, p in got:  # equal grams have equal hashes
-            assert every.setdefault(tuple(r.text.split()[p : p + 5]), h) == h
+            assert every.setdefault(tuple(r.text.split()[p : p + gram]), h) == h
         seen = [p for _, p in got]
         known = {g: h for g, h in every.items()}
-        for s in range(max(n - 15, 1 if n else 0)):
-            inside = [p for p in seen if s <= p < s + 16]
+        for s in range(max(n - window + 1, 1 if n else 0)):
+            inside = [p for p in seen if s <= p < s + window]
             assert inside  # every window holds a selected position
-            window = [tuple(r.text.split()[p : p + 5]) for p in range(s, min(s + 16, n))]
-            best = min(known[g] for g in window if g in known)
-            assert s + max(i for i, g in enumerate(window) if known.get(g) == best) in seen
+            own = [tuple(r.text.split()[p : p + gram]) for p in range(s, min(s + window, n))]
+            best = min(known[g] for g in own if g in known)
+            assert s + max(i for i, g in enumerate(own) if known.get(g) == best) in seen
+
+
+def test_fingerprints_share_what_texts_share(spark):
+    """Six common words give a common hash, wherever they stand; buckets by a search in two steps."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = []
+    for i in range(0, 80, 2):
+        passage = [word() for _ in range(winnow.GRAM + winnow.WINDOW - 1)]
+        rows += [(i + j, " ".join([*(word() for _ in range(rng.randrange(30))), *passage, *(word() for _ in range(rng.randrange(30)))])) for j in (0, 1)]
+    got = {r.doc_id: {x >> 31 for x in r.packed} for r in winnow.with_fingerprint(frame(spark, rows), "text", "packed").collect()}
+    assert all(got[i] & got[i + 1] for i in range(0, 80, 2)) and sum(bool(got[i] & got[i + 3]) for i in range(0, 76, 2)) == 0
+    cuts = sorted(rng.sample(range(1000), 200))
+    for r in spark.range(1000).select("id", winnow.bucket_of(winnow.F.col("id"), cuts).alias("b")).collect():
+        assert r.b == sum(c <= r.id for c in cuts)
+    some = frame(spark, rows)
+    plain = lambda: {r.doc_id: (r.near_edited, r.near_next, r.edited_sha256) for r in winnow.fingerprints(some).collect()}
+    want = plain()
+    rows_, window_ = winnow.with_next(some, 70)
+    after = {r.doc_id: r.a for r in rows_.withColumn("a", winnow.F.lead("text").over(window_)).where("guard = 0").collect()}
+    ids = sorted(dict(rows), reverse=True)
+    assert after == {i: dict(rows)[j] for i, j in zip(ids, ids[1:] + ids[:1], strict=True)} and len(want) == len(ids)
 
 
 # near duplicates
