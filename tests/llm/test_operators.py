@@ -92,8 +92,35 @@ def test_pages_of_the_tables(spark, sf):
 
 
 def test_weights_come_from_labelled_pages():
-    w = html_extract.fit_weights()
-    assert w["text"] > 0 > w["tag"] and w["link"] < 0
+    w, names = html_extract.fit_weights()
+    assert min(w[k] for k in ("text", "heading", "item", "table")) > 0 > w["tag"] and w["link"] < 0
+    assert names["sidebar"] < names["discussion"] < names["side"] < 0 < names["article"] and names.of(["never-met"]) == 0
+    few, _ = html_extract.fit_weights(['<div class="article"><p data-label="1">one two three four</p></div><p><a href="/">five</a></p>'])
+    assert few["text"] > 0 > few["link"]
+
+
+def test_best_run_equals_all_runs():
+    rng = random.Random(12)
+    for _ in range(400):
+        values = [(rng.choice([-3.0, -1.0, 0.5, 2.0, 4.0]), rng.choice([0.0, -0.25, -2.5])) for _ in range(rng.randrange(9))]
+        every = {(i, j): sum(g for g, _ in values[i:j]) + sum(c for _, c in values[i + 1 : j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)}
+        top = max(every.values(), default=0.0)
+        i, j = html_extract.best_run(values)
+        assert (i, j) == (0, 0) and top <= 0 or every[i, j] == top > 0
+
+
+def test_names_are_evidence_not_vetoes():
+    p = "<p>Some long article text that goes on for a while, as they do, with more words after it.</p>"
+    text = re.sub("<[^>]*>", "", p)
+    got = lambda x: html_extract.extract(x).replace(text, "#")
+    assert got(f'<nav><a href="/">Home</a></nav><div class="side-effects"><h2>Side effects</h2>{p}{p}</div><footer>Foot</footer>') == "Side effects # #"
+    assert got(f'<article>{p}<section class="discussion"><h2>Discussion</h2>{p}</section></article><section class="comments">{p}</section>') == "# Discussion #"
+    assert got(f'<article>{p}<p>Buy <span class="advert">BUY NOW</span> it <span style="display:none">no</span>here.</p></article>') == "# Buy it here."
+    assert got(f'<article>{p}<p>One <span class="share">two three</p><p>four <i hidden>x</p></article>') == "# One two three four"
+    assert got(f'<article>{p}<div class="newsletter-box"><p>Get our letter every day, it is free and short.</p></div>{p}</article><div class="side">{p}</div>') == "# #"
+    assert got(f"<body><div>{p}{p}</div><div><p>Page 1 of 3</p></div><div><a href=/>Terms and other links</a></div>") == "# #"
+    long = "<article>" + p * 3000 + "</article>"
+    assert html_extract.extract(long) == " ".join([text] * 3000)
 
 
 # decontamination
