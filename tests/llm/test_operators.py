@@ -258,6 +258,43 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_quality_equals_brute_force(spark, sf, docs, texts):
+    """Statistics by plain Python, and every tree walked by itself."""
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(model.value) == quality.TREES
+    rows = [*texts.values(), "", "One. one one\nTwo, two!\nTwo, two!\nÄé 12 x|y", "a" * 3_000_000]
+    x = quality.statistics(pa.array(rows, pa.large_string()))
+    assert x.shape == (len(rows), len(quality.FEATURES)) and np.isfinite(x).all()
+    for t, own in zip(rows, x, strict=True):
+        got, raw, w = dict(zip(quality.FEATURES, own, strict=True)), (t or "").encode(), words(t)
+        n, lengths, tally = max(len(raw), 1), [len(v.encode()) for v in w], Counter(w)
+        assert np.isclose(got["comma"], sum(chr(b) in ",;:" for b in raw) / n) and np.isclose(got["wide"], sum(b >= 128 for b in raw) / n)
+        assert np.isclose(got["log_bytes"], np.log1p(len(raw))) and np.isclose(got["log_words"], np.log1p(len(w)))
+        assert np.isclose(got["word_bytes"], np.mean(lengths) if w else 0) and np.isclose(got["word_spread"], np.std(lengths) if w else 0, atol=1e-5)
+        assert np.isclose(got["distinct"], len(tally) / max(len(w), 1)) and np.isclose(got["top"], max(tally.values(), default=0) / max(len(w), 1))
+        assert np.isclose(got["adjacent"], sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(len(w), 1))
+        assert np.isclose(got["repeated_shingles"], 1 - len(set(grams(t))) / len(grams(t)) if w else 0)
+    plain = []
+    for own in x:
+        margin = model.base
+        for feature, cut, value in zip(model.feature, model.cut, model.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if own[feature[node]] > cut[node] else 1)
+            margin += value[node - len(feature)]
+        plain.append(1 / (1 + np.exp(-margin)))
+    assert np.allclose(model.score(x), plain, atol=1e-12)
+    want = dict(zip(texts, plain, strict=False))
+    assert all(abs(r.score - want[r.doc_id]) < 1e-12 for r in quality.score_quality(docs, model).collect())
+
+
+def test_repeated_documents_are_learnt_alike(spark):
+    rows = [(i, t) for i in range(60) for t in (f"good text number {i}, it is fine. " * 3, "JUNK||| " * (i + 1))]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    models = [quality.fit_quality(frame(spark, r).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert all(np.array_equal(getattr(models[0], k), getattr(models[1], k)) for k in ("feature", "cut", "value"))
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     english = {r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").collect()}

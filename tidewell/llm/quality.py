@@ -7,7 +7,7 @@ The model is fitted on at most ``SAMPLE`` labelled rows, those of least hash of
 covers all rows.  Labels, lang, source and doc_id are inputs of no score.
 
 Defined cases: null texts are empty; an empty text has the statistics 0 and is scored; a doc_id with
-several labels takes the lowest; labels without a document, or null, aren't learnt; with no labels of both
+several labels takes the lowest, one with several texts is learnt from that of least hash; labels without a document, or null, aren't learnt; with no labels of both
 kinds the score is the share of label 1 (0.5 without any); null doc_ids and repeated rows are scored and
 kept; an empty table gives an empty result; extra columns are ignored.
 """
@@ -151,9 +151,9 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = statistics(b.column(2))
+        x = statistics(b.column(3))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], ["doc_id", "label", "x"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], flat], ["doc_id", "label", "tag", "x"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold: int = 4, held: int = 2, sample: int = SAMPLE) -> Trees:
@@ -162,7 +162,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), fold) != held))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # at most `sample` rows of 12 bytes
-    got = rows.select("doc_id", "label", "text").mapInArrow(_features, "doc_id long, label int, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = rows.select("doc_id", "label", F.xxhash64("text").alias("tag"), "text").mapInArrow(_features, "doc_id long, label int, tag long, x array<double>")
+    got = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("x", "tag").alias("x")).toPandas().sort_values("doc_id")
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     return Trees(x, got["label"].to_numpy(np.float64))
 
