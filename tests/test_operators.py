@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import expr as E
 from tidewell.functions.ewm import Ewm, alpha_of, ewm, ewm_fold
-from tidewell.operators import align, backtest, bars as B, candles, clean, events, indicators as I, labels as L, metrics, microstructure as M, profile, regimes, select
+from tidewell.operators import align, backtest, bars as B, candles, clean, events, features as X, indicators as I, labels as L, metrics, microstructure as M, profile, regimes, select
 from tidewell.sources import datasets, schemas
 
 T0 = dt.datetime(2024, 1, 1)
@@ -233,8 +233,70 @@ def test_cooldown_and_suppression(spark):
 
 
 def test_path_class(spark):
-    rows = [([0.0, 0.0, 0.01, 0.02],), ([0.01, 0.02, 0.03, 0.04],), ([0.01, 0.02, -0.01, -0.02],), ([0.01, 0.02, 0.015, 0.01],)]
-    assert [r.c for r in spark.createDataFrame(rows, "r array<double>").select(events.path_class(F.col("r")).alias("c")).collect()] == ["begin", "continuation", "reversal", "end"]
+    rows = [(["A"] * 3 + ["B"] * 9, [0.01] * 12), (["A"] * 12, [0.01] * 12), (["A"] * 10 + ["B"] * 2, [-0.01] * 12), (["A", "B"] * 6, [0.01, -0.01] * 6), ([], [0.01]), (["A"], [])]
+    x = spark.createDataFrame(rows, "g array<string>, r array<double>").select(events.path_class(F.col("g"), F.col("r")).alias("c"))
+    assert [r.c for r in x.collect()] == ["beginning_of_trend", "continuation", "reversal", "end_of_trend", "end_of_trend", "end_of_trend"]
+
+
+def test_long_series_of_one_symbol(spark):
+    """Half a million rows of one symbol: spacing, suppression and expanding ranks stay linear."""
+    n = 500_000
+    e = spark.range(n).selectExpr("'A' AS symbol", "timestamp_seconds(id * 60)::timestamp_ntz AS ts", "id AS row_index", "'x' AS event_label", "rand(3) AS intensity", "array('') AS secondary_labels")
+    assert events.cooldown(e, 45).count() == -(-n // 45)
+    kept = events.suppress(e).agg(F.count("*"), F.count_distinct("row_index")).first()
+    assert kept[0] == kept[1] and n / 81 < kept[0] < n / 27
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 1000, 6000).astype(float)
+    x = spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=len(v), freq="min"), "v": v})).withColumn("v", F.when(F.col("v") < 900, F.col("v")))
+    got = X.expanding_rank(x, "v").orderBy("ts").toPandas()["v_rank"]
+    seen = []
+    for value, rank in zip(v, got, strict=True):
+        if value < 900:
+            seen.append(value)
+            assert abs(rank - np.mean(np.array(seen) <= value)) < 1e-12
+        else:
+            assert np.isnan(rank)
+    assert X.expanding_rank(e.select("symbol", "ts", "intensity"), "intensity").agg(F.max("intensity_rank")).first()[0] == 1
+
+
+def test_value_area_by_growing(spark):
+    """The turns of bins equal a step-by-step growth towards the greater neighbour."""
+    rng = np.random.default_rng(5)
+    rows = [([float(v) for v in rng.integers(0, 6, 9)],) for _ in range(300)]
+    rows = [r for r in rows if sum(r[0]) > 0]
+    x = spark.createDataFrame(rows, "h array<double>").withColumn("k", (F.array_position("h", F.array_max("h")) - 1).cast("int"))
+    x = x.withColumn("total", F.aggregate("h", F.lit(0.0), lambda s, v: s + v))
+    for r in x.withColumn("a", profile.value_area(F.col("h"), F.col("k"), F.col("total"), 9)).collect():
+        low = high = r.k
+        got = r.h[r.k]
+        while got < 0.7 * sum(r.h):
+            sides = [(r.h[high + 1], 1)] if high < 8 else []
+            sides += [(r.h[low - 1], 0)] if low else []
+            v, up = max(sides)
+            got += v
+            low, high = (low, high + 1) if up else (low - 1, high)
+        assert (r.a["low"], r.a["high"]) == (low, high)
+
+
+def test_calibration(spark, frame):
+    def naive(x, rounds=6):
+        t, s, e, n = 25.0, 20.0, 0.0, 0
+        share = lambda: regimes.classify(x, trend=t, sideways=s, least_separation=e).agg(F.avg((F.col("regime") == "SIDEWAYS").cast("int"))).first()[0]
+        now = share()
+        while not 0.25 <= now <= 0.35 and n < rounds:
+            if now > 0.35:
+                t, s, e = max(5.0, t - 2), max(5.0, s - 1), max(0.0, e - 0.0005)
+            else:
+                t = min(60.0, t + 2)
+                s, e = min(t - 1, s + 1), min(0.02, e + 0.0005)
+            s, n = min(s, t - 1), n + 1
+            now = share()
+        return t, s, e, now, n
+
+    base = regimes.ema_adx_features(frame).cache()
+    for x in (base, base.withColumn("adx", 25 + F.col("volume") / 10), base.withColumn("adx", F.lit(3.0))):
+        got = regimes.calibrate(x).first()
+        assert np.allclose(tuple(got), naive(x)), got
 
 
 # cleaning, selection, sources
@@ -311,7 +373,9 @@ def test_backtests(spark):
     rows = [("A", T0 + dt.timedelta(minutes=i), float(x), x + 0.5, x - 0.5, float(x), 1.0, 1) for i, x in enumerate(c)]
     x = spark.createDataFrame(rows, SCHEMA).withColumns({"signal": F.when(F.col("close") == 100, 1).when(F.col("close") == 102, -1).otherwise(0), "atr": F.lit(1.0)})
     t = backtest.simple(x).orderBy("entry_ts").collect()
-    assert [(r.side, r.reason, r.exit_price) for r in t] == [(1, "take", 102.0), (-1, "take", 100.0)]
+    assert [((r.entry_ts - T0).seconds // 60, (r.exit_ts - T0).seconds // 60, r.reason, r.exit_price) for r in t] == [(0, 2, "take", 102.0)]
+    both = backtest.both_sides(x.withColumns({"sell_confidence": F.lit(0.0), "buy_confidence": F.lit(0.0)}), fee=0.0).collect()
+    assert [(r.side, r.reason, r.pnl) for r in both] == [(1, "take", 0.02), (-1, "take", 0.02)]
     led = backtest.ledger(x, fee=0.0).orderBy("ts").collect()
     assert led[-1].cash == 10200 and led[-1].quantity == 0
     assert len(backtest.progressive(x, lambda d: d.count(), key="symbol")) == 4

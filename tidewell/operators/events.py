@@ -22,12 +22,27 @@ def triggers(df: DataFrame, thresholds: dict[str, float], key: str = E.KEY) -> D
 def cooldown(events: DataFrame, bars: int = 45, key: str = E.KEY) -> DataFrame:
     """Per label, keeps an event only if at least ``bars`` rows have passed since the last kept one.
 
-    The fold over sorted indexes is native; its input is one label's events of one key.
+    An event that follows its predecessor after such a gap is always kept, so series are cut there; each piece is a chain of
+    jumps through its sorted row numbers.
     """
-    own = events.groupBy(key, "event_label").agg(F.array_sort(F.collect_list("row_index")).alias("_i"))
-    start = F.struct(F.lit(-(10**9)).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
-    kept = F.aggregate("_i", start, lambda a, i: F.when(i - a["last"] >= bars, F.struct(i.alias("last"), F.array_append(a["kept"], i).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    return events.join(own.select(key, "event_label", F.explode(kept).alias("row_index")), [key, "event_label", "row_index"], "left_semi")
+    gap = F.col("row_index") - F.lag("row_index").over(Window.partitionBy(key, "event_label").orderBy("row_index"))
+    piece = F.sum(F.coalesce((gap >= bars).cast("int"), F.lit(0))).over(Window.partitionBy(key, "event_label").orderBy("row_index"))
+    x = events.select(key, "event_label", F.col("row_index").cast("long").alias("row_index")).withColumn("_piece", piece)
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = np.unique(table.column("row_index").to_numpy())
+        at = [0]
+        while (nxt := int(np.searchsorted(rows, rows[at[-1]] + bars))) < len(rows):
+            at.append(nxt)
+        one = lambda name: table.column(name).slice(0, 1).to_pylist() * len(at)
+        return pa.table({key: one(key), "event_label": one("event_label"), "row_index": rows[at]})
+
+    kinds = dict(events.dtypes)
+    kept = x.groupBy(key, "event_label", "_piece").applyInArrow(run, f"`{key}` {kinds[key]}, event_label {kinds['event_label']}, row_index long")
+    return events.join(kept, [key, "event_label", "row_index"], "left_semi")
 
 
 def overlap(a: int, b: int, pre: int, post: int) -> float:
@@ -38,18 +53,30 @@ def overlap(a: int, b: int, pre: int, post: int) -> float:
 
 
 def suppress(events: DataFrame, least_overlap: float = 0.5, pre: int = 60, post: int = 20, key: str = E.KEY) -> DataFrame:
-    """Greedy by intensity: drops an event whose window overlaps a stronger kept one (ties: earlier row, then label)."""
+    """Greedy by intensity: drops an event whose window overlaps a stronger kept one (ties: earlier row, then label).
+
+    Windows overlap that much up to a certain distance of their rows, so series are cut at greater gaps, and a kept event
+    blocks the rows around it.
+    """
+    length = pre + post + 1
+    reach = max(d for d in range(length) if overlap(0, d, pre, post) >= least_overlap) if least_overlap > 0 else length
+    w = Window.partitionBy(key).orderBy("row_index")
+    piece = F.sum(F.coalesce((F.col("row_index") - F.lag("row_index").over(w) > reach).cast("int"), F.lit(0))).over(w)
+    columns = events.columns
 
     def run(pdf):
+        import numpy as np
+
         pdf = pdf.sort_values(["intensity", "row_index", "event_label"], ascending=[False, True, True], kind="stable")
-        kept, rows = [], []
-        for at, i in zip(pdf.index, pdf["row_index"], strict=True):
-            if all(overlap(i, k, pre, post) < least_overlap for k in rows):
-                kept.append(at)
-                rows.append(i)
-        return pdf.loc[kept]
+        first = int(pdf["row_index"].min())
+        blocked, kept = np.zeros(int(pdf["row_index"].max()) - first + 1, bool), []
+        for n, i in enumerate((pdf["row_index"] - first).tolist()):
+            if not blocked[i]:
+                kept.append(n)
+                blocked[max(0, i - reach) : i + reach + 1] = True
+        return pdf.iloc[kept][columns]
 
-    return events.groupBy(key).applyInPandas(run, events.schema)
+    return events.withColumn("_piece", piece).groupBy(key, "_piece").applyInPandas(run, events.schema)
 
 
 def per_label(events: DataFrame, most: int, key: str = E.KEY) -> DataFrame:
@@ -74,33 +101,106 @@ def windows(bars: DataFrame, events: DataFrame, features: list[str], pre: int =
     return events.join(x.select(key, "row_index", "pre_states", "post_states", "path_returns", "bars_to_profit", "pooled"), [key, "row_index"])
 
 
-def path_class(returns, level: float = 0.002):
-    """begin, continuation, reversal or end of a move, in that order of preference, from returns of a path."""
-    half = F.floor(F.size(returns) / 2).cast("int")
-    first, second = F.slice(returns, 1, half), F.slice(returns, half + 1, F.size(returns))
-    top = lambda a: F.coalesce(F.array_max(F.transform(a, F.abs)), F.lit(0.0))
-    last, mid = F.element_at(returns, -1), F.element_at(returns, half)
-    return F.when((top(first) < level) & (top(second) >= level), "begin").when((F.signum(mid) == F.signum(last)) & (F.abs(last) > F.abs(mid)), "continuation").when(F.signum(mid) != F.signum(last), "reversal").otherwise("end")
+def path_class(regimes, returns, level: float = 0.001, onset: int = 8, beginnings: bool = True):
+    """Class of a path from the regimes after an event and the returns summed up, in this order of preference:
+
+    beginning_of_trend (a change of regime within ``onset`` bars), continuation (none at all), reversal (a change anywhere), each
+    only if the sum moves by ``level``; end_of_trend otherwise.
+    """
+    first = F.get(regimes, 0)
+    changes = lambda a: F.exists(a, lambda r: r != first)
+    moved = F.abs(F.aggregate(returns, F.lit(0.0), lambda s, r: s + F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)))) >= level
+    some = F.size(regimes) > 0
+    begins = some & changes(F.slice(regimes, 1, onset)) & moved if beginnings else F.lit(False)
+    return F.when(begins, "beginning_of_trend").when(some & ~changes(regimes) & moved, "continuation").when(some & changes(regimes) & moved, "reversal").otherwise("end_of_trend")
 
 
 def multi_hot(label, secondary, names: list[str]):
     return F.array(*[((label == n) | F.array_contains(secondary, n)).cast("int") for n in names])
 
 
-def combine_probabilities(df: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:
-    """Weighted mean of p over timeframes, with a gate at one half."""
-    w = F.coalesce(F.element_at(F.create_map(*[y for k, v in weights.items() for y in (F.lit(k), F.lit(float(v)))]), F.col("timeframe")), F.lit(0.0))
-    out = df.groupBy(*keys).agg(F.try_divide(F.sum(w * F.col("p")), F.sum(w)).alias("p"))
-    return out.withColumn("gate", F.coalesce((F.col("p") >= 0.5).cast("int"), F.lit(0)))
+#: Classes of paths, as ``path_class`` names them.
+PATHS = ("continuation", "reversal", "beginning_of_trend", "end_of_trend")
+
+
+def reliable(p, scale):
+    """A probability scaled by the reliability of its source (1 if unknown), within [0, 1]."""
+    return E.clip(p * F.coalesce(scale, F.lit(1.0)), 0, 1)
+
+
+def combine_probabilities(df: DataFrame, weights: dict[str, float], keys: list[str], reliability: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """Weighted means over timeframes of the probability of each class, scaled by the reliability of (timeframe, class).
+
+    Timeframes without a positive weight don't count; without any, all are 0.
+    """
+    table = lambda d: F.create_map(*[y for k, v in d.items() for y in (F.lit(k), F.lit(float(v)))])
+    known = {k: v for k, v in weights.items() if v > 0}
+    w = F.coalesce(F.element_at(table(known), F.col("timeframe")), F.lit(0.0))
+    total = F.sum(w)
+    out = []
+    for c in PATHS:
+        own = {t: v for (t, cls), v in (reliability or {}).items() if cls == c}
+        p = reliable(F.coalesce(F.col(c), F.lit(0.0)), F.element_at(table(own), F.col("timeframe")) if own else F.lit(None).cast("double"))
+        out.append(F.coalesce(F.try_divide(F.sum(w * p), total), F.lit(0.0)).alias(c))
+    return df.groupBy(*keys).agg(*out)
+
+
+def gate(df: DataFrame, least: float = 0.75, least_beginning: float = 0.75) -> DataFrame:
+    """allow_trade and its trigger: continuation, or the beginning of a trend where it is as likely, beyond a threshold."""
+    go, begin = F.col("continuation") >= least, (F.col("beginning_of_trend") >= least_beginning) & (F.col("beginning_of_trend") >= F.col("continuation"))
+    return df.withColumns({"allow_trade": (go | begin).cast("int"), "trigger": F.when(begin, "beginning_of_trend").when(go, "continuation")})
+
+
+def exit_bias(df: DataFrame, strong: float = 0.4) -> DataFrame:
+    """How much more likely a reversal is than what favours the position; exit where it is, or is beyond ``strong``."""
+    bias = F.col("reversal") - F.greatest("continuation", "beginning_of_trend")
+    return df.withColumns({"exit_bias": bias, "strong_reversal": (F.col("reversal") > strong).cast("int"), "exit": ((F.col("reversal") > strong) | (bias > 0)).cast("int")})
 
 
 def dtw(a, b) -> float:
-    """Dynamic-time-warping distance of two sequences."""
+    """Dynamic-time-warping distance of two sequences; with an empty one infinite, of two 0."""
     import numpy as np
 
-    cost = np.full((len(a) + 1, len(b) + 1), np.inf)
-    cost[0, 0] = 0
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            cost[i, j] = abs(x - y) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
-    return float(cost[-1, -1])
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    last = np.full(len(y) + 1, np.inf)
+    last[0] = 0.0
+    for v in x:
+        cost, row = np.abs(y - v), np.full(len(y) + 1, np.inf)
+        best = np.minimum(last[:-1], last[1:])
+        for j in range(len(y)):
+            row[j + 1] = cost[j] + min(best[j], row[j])
+        last = row
+    return float(last[-1])
+
+
+def dtw_distance(df: DataFrame, a: str, b: str, out: str = "dtw") -> DataFrame:
+    """The distance of two array columns, in Arrow batches; NULL where one is NULL."""
+
+    def run(x, y):
+        import pandas as pd
+
+        return pd.Series([None if p is None or q is None else dtw(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return df.withColumn(out, F.pandas_udf(run, "double")(F.col(a), F.col(b)))
+
+
+def near_duplicates(df: DataFrame, vector: str, most: float = 0.98, key: str = E.KEY) -> DataFrame:
+    """Drops a sample whose vector's cosine to that of the sample before it (by row) is ``most`` or more."""
+    from tidewell.operators.regimes import cosine
+
+    before = F.lag(vector).over(Window.partitionBy(key, "event_label").orderBy("row_index"))
+    return df.withColumn("_c", cosine(F.col(vector), before)).where(F.coalesce(F.col("_c") < most, F.lit(True))).drop("_c")
+
+
+def rolling_windows(bars: DataFrame, features: list[str], state: str, pre: int = 60, post: int = 20, horizons: tuple[int, ...] = (5, 15), every: int = 1, key: str = E.KEY) -> DataFrame:
+    """Samples at every bar with a whole window: pooled means and deviations before, states and returns after, path class and directions."""
+    before, after = E.frame(pre, -1, key=key), E.frame(-1, post, key=key)
+    i, n = F.row_number().over(E.series(key)) - 1, F.count("*").over(Window.partitionBy(key))
+    x = bars.withColumns({"row_index": i, "_n": n, "_states": F.collect_list(state).over(after), "_after": F.collect_list("close").over(after)})
+    x = x.withColumns({f"{m}_{c}": f(c).over(before) for c in features for m, f in (("mean", F.avg), ("std", F.stddev_pop))})
+    x = x.withColumns({f"return_{h}": E.div(E.lag("close", -h, key=key), "close") - 1 for h in horizons})
+    x = x.where((F.col("row_index") >= pre) & (F.col("row_index") <= F.col("_n") - post - 1) & ((F.col("row_index") - pre) % every == 0))
+    x = x.withColumns({f"direction_up_{h}": (F.col(f"return_{h}") > 0).cast("int") for h in horizons})
+    x = x.withColumn("post_returns", F.transform("_after", lambda v: v / F.col("close") - 1))
+    names = [f"{m}_{c}" for c in features for m in ("mean", "std")] + [f"{k}_{h}" for h in horizons for k in ("return", "direction_up")]
+    return x.select(key, "ts", "row_index", *names, "post_returns", path_class(F.col("_states"), F.col("post_returns")).alias("path"))

@@ -59,15 +59,36 @@ def multi_timeframe(bars: DataFrame, frames: dict[str, str], key: str = E.KEY, c
     return out
 
 
-def expanding_rank(df: DataFrame, column: str, key: str = E.KEY) -> DataFrame:
-    """Share of values so far that are at most the current one.
+def expanding_rank(df: DataFrame, column: str, key: str = E.KEY, block: int = 2048) -> DataFrame:
+    """Share of values so far that are at most the current one (NULL for NULL, which doesn't count).
 
-    Exact for any length: positions of a sorted self-comparison would be quadratic, so values are compared
-    within the prefix array of a key only; use on bars, not on ticks.
+    Per series in Arrow batches: a block of values is looked up in the sorted values before it and compared within itself.
     """
-    seen = F.collect_list(column).over(E.series(key).rowsBetween(Window.unboundedPreceding, 0))
-    x = F.col(column)
-    return df.withColumn(f"{column}_rank", F.when(x.isNotNull(), F.size(F.filter(seen, lambda v: v <= x)) / F.size(seen)))
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("ts")
+        at = table.schema.names.index(column)
+        known = np.flatnonzero(table.column(at).is_valid().to_numpy())
+        v = table.column(at).take(pa.array(known)).to_numpy().astype(float)
+        seen, out = np.zeros(0), np.full(len(table), np.nan)
+        for i in range(0, len(v), block):
+            own = v[i : i + block]
+            inside = np.tril(own[None, :] <= own[:, None]).sum(1)
+            out[known[i : i + block]] = (np.searchsorted(seen, own, "right") + inside) / (i + 1 + np.arange(len(own)))
+            seen = np.sort(np.concatenate([seen, own]), kind="stable")
+        return table.append_column(f"{column}_rank", pa.array(out, pa.float64(), mask=np.isnan(out)))
+
+    from pyspark.sql import types as T
+
+    return df.groupBy(key).applyInArrow(run, T.StructType([*df.schema.fields, T.StructField(f"{column}_rank", T.DoubleType())]))
+
+
+def slopes(df: DataFrame, columns: tuple[str, ...] = ("ema_20", "sma_50"), key: str = E.KEY) -> DataFrame:
+    """Change of each column from the bar before."""
+    return df.withColumns({f"{c}_slope": E.diff(c, key=key) for c in columns})
 
 
 def intensity(df: DataFrame, scales: dict[str, tuple[float, float]], ranks: list[str], out: str = "intensity") -> DataFrame:

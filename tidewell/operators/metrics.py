@@ -40,9 +40,16 @@ def gated_sharpe(df: DataFrame, gate: str, r: str = "r", key: str = E.KEY) -> Da
     return df.groupBy(key).agg(a.alias("gated_sharpe"), b.alias("sharpe"), (a - b).alias("lift"), F.avg((F.col(gate) == 1).cast("int")).alias("coverage"))
 
 
-def kelly(df: DataFrame, r: str = "r", key: str = E.KEY, confidence: float = 1.0, leverage: float = 1.0, bounds: tuple[float, float] = (0.0, 2.0)) -> DataFrame:
-    """Mean over variance, adjusted and clipped."""
-    return df.groupBy(key).agg(E.clip(F.try_divide(F.avg(r), F.var_samp(r)) * confidence / leverage, *bounds).alias("kelly"))
+def kelly(df: DataFrame, r: str = "r", key: str = E.KEY, lookback: int = 60, confidence: float = 1.0, leverage: float = 1.0, most: float = 0.25) -> DataFrame:
+    """1 and the Kelly fraction (mean over variance) of the last ``lookback`` returns, reduced for leverage beyond 10 and for doubt, within [0, most].
+
+    1 where there are fewer returns or they don't vary.
+    """
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts")))
+    x = df.where(F.col(r).isNotNull()).withColumn("_n", back).where(F.col("_n") <= lookback)
+    f = F.try_divide(F.avg(r), F.var_samp(r)) * min(1.0, 10.0 / max(1.0, leverage)) * (0.5 + 0.5 * confidence)
+    got = x.groupBy(key).agg(F.when((F.count("*") >= lookback) & (F.var_samp(r) > 0), 1 + E.clip(f, 0, most)).alias("kelly"))
+    return df.select(key).distinct().join(got, key, "left").select(key, F.coalesce("kelly", F.lit(1.0)).alias("kelly"))
 
 
 def prediction_scores(df: DataFrame, confidence: str, prediction: str, label: str, least: float = 0.6, unit: float = 0.01, key: str = E.KEY) -> DataFrame:
@@ -53,25 +60,79 @@ def prediction_scores(df: DataFrame, confidence: str, prediction: str, label: st
     return df.groupBy(key).agg(F.sum(traded.cast("int")).alias("trades"), F.sum(pnl).alias("pnl"), F.avg(F.when(traded, won.cast("int"))).alias("win_rate"))
 
 
-def activation_threshold(df: DataFrame, intensity: str, r: str = "r", grid: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
-    """For each threshold: coverage and profit factor of the rows at or above it (one aggregation for the whole grid)."""
-    r_, i = F.col(r), F.col(intensity)
-    one = lambda t: F.struct(F.lit(t).alias("threshold"), F.avg((i >= t).cast("int")).alias("coverage"), F.try_divide(F.sum(F.when((i >= t) & (r_ > 0), r_)), -F.sum(F.when((i >= t) & (r_ < 0), r_))).alias("profit_factor"))
-    return df.agg(F.array(*[one(t) for t in grid]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+def activation_threshold(df: DataFrame, intensity: str, r: str = "r", label: str = "label", grid: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
+    """For each threshold, of the rows at or above it: frequency, hit rate, profit factor and mean return (one aggregation for the whole grid).
 
+    Wins are gains of rows of label 1, losses those of label -1; without losses the factor is the gain itself.
+    """
+    v, i, y = F.coalesce(F.col(r), F.lit(0.0)), F.col(intensity), F.col(label)
 
-def market_scores(bars: DataFrame, n: int = 50, key: str = E.KEY) -> DataFrame:
-    """Stress, liquidity and health of the last n bars of each key, 0 to 1."""
-    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts")))
-    x = bars.withColumns({"_r": E.pct("close", key=key), "_n": back}).where(F.col("_n") <= n)
-    s = x.groupBy(key).agg(F.stddev_samp("_r").alias("_s"), F.avg("volume").alias("_v"), F.stddev_samp("volume").alias("_sv"), F.avg((F.col("_r") > 0).cast("int")).alias("_up"))
-    return s.select(key, E.clip(F.col("_s") / 0.05, 0, 1).alias("stress"), E.clip(1 - F.try_divide("_sv", 2 * F.col("_v")), 0, 1).alias("liquidity"), F.col("_up").alias("breadth")).withColumn("health", (1 - F.col("stress")) * 0.4 + F.col("liquidity") * 0.3 + F.col("breadth") * 0.3)
+    def one(t: float):
+        on = F.coalesce(i >= t, F.lit(False))
+        gain = F.coalesce(F.sum(F.when(on & (y == 1) & (v > 0), v)), F.lit(0.0))
+        loss = -F.coalesce(F.sum(F.when(on & (y == -1) & (v < 0), v)), F.lit(0.0))
+        hit = F.avg(F.when(on, F.coalesce((y == 1).cast("int"), F.lit(0))))
+        return F.struct(F.lit(t).alias("threshold"), F.avg(on.cast("int")).alias("frequency"), hit.alias("hit_rate"), F.when(loss > 0, gain / loss).otherwise(gain).alias("profit_factor"), F.avg(F.when(on, v)).alias("avg_return"))
+
+    return df.agg(F.array(*[one(t) for t in grid]).alias("x")).select(F.explode("x").alias("x")).select("x.*").where("frequency > 0")
+
+
+def best_threshold(df: DataFrame, intensity: str, r: str = "r", label: str = "label", least: float = 0.01, most: float = 0.5, fallback: float = 0.5, **kw) -> DataFrame:
+    """The threshold of greatest profit factor whose frequency is within bounds (the lowest of equal ones), or the fallback."""
+    x = activation_threshold(df, intensity, r, label, **kw).where(F.col("frequency").between(least, most))
+    top = x.agg(F.max_by(F.struct(*x.columns), F.struct("profit_factor", -F.col("threshold"))).alias("x"))
+    rest = {c: F.coalesce(F.col(f"x.{c}"), F.lit(fallback if c == "threshold" else 0.0)).alias(c) for c in x.columns}
+    return top.select(*rest.values())
+
+
+def market_scores(bars: DataFrame, key: str = E.KEY, n: int = 20, long: int = 100) -> DataFrame:
+    """Per series, at its last bar: strength and stress and liquidity (0 to 100), their parts, and the trend and volume states."""
+    x = bars.withColumns({"_r": E.pct("close", key=key), "_top": E.high("close", n, key=key), "_mv": E.mean("volume", n, key=key), "_back": F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts")))})
+    x = x.withColumns({"_sd": E.std("_r", n, key=key), "_sdl": E.std("_r", long, key=key)})
+    last = lambda c: F.max(F.when(F.col("_back") == 1, F.col(c)))
+    recent = F.col("_back") <= n
+    first = F.max_by("close", F.when(recent, F.col("_back")))
+    s = x.groupBy(key).agg(
+        F.avg((F.col("_r") > 0).cast("int")).alias("_up"), F.avg(F.abs("_r")).alias("_move"), F.coalesce(F.try_divide(last("_sd"), last("_sdl")), F.lit(1.0)).alias("volatility_stress"),
+        F.coalesce(F.abs(F.try_divide(last("close") - last("_top"), last("_top"))), F.lit(0.0)).alias("drawdown_stress"), F.try_divide(F.avg(F.when(recent, F.col("volume"))), F.avg("volume")).alias("_share"),
+        F.avg(F.when(recent, E.div(F.col("high") - F.col("low"), "close"))).alias("spread"), last("_sd").alias("_sd"), E.div(last("volume"), last("_mv")).alias("_vr"), F.try_divide(last("volume"), F.avg("volume")).alias("_now"),
+        F.try_divide(last("close") - first, first).alias("_trend"), F.sum(recent.cast("int")).alias("_rows"),
+    )
+    clip100 = lambda c: E.clip(c, 0, 100)
+    s = s.withColumns({"volume_stress": E.clip(1 - F.coalesce("_share", F.lit(1.0)), 0, 1), "impact": F.coalesce(F.when(F.col("_vr") > 0, F.col("_sd") / F.col("_vr")).otherwise(F.col("_sd")), F.lit(0.0)), "spread": F.coalesce("spread", F.lit(0.0))})
+    volume = F.when(F.coalesce("_share", F.lit(1.0)) > 1.2, 80).when(F.coalesce("_share", F.lit(1.0)) < 0.8, 30).otherwise(60)
+    parts = lambda c: F.greatest(F.lit(0.0), 100 - 1000 * F.col(c))
+    return s.select(
+        key, clip100(F.coalesce("_up", F.lit(0.5)) * 60 + F.least(F.coalesce("_move", F.lit(0.0)) * 1000, F.lit(40.0))).alias("strength"),
+        clip100(40 * F.col("volatility_stress") + 40 * F.col("drawdown_stress") + 20 * F.col("volume_stress")).alias("stress"), clip100((volume + parts("spread") + parts("impact")) / 3).alias("liquidity"),
+        "volatility_stress", "drawdown_stress", "volume_stress",
+        F.when(F.col("_rows") < 10, "UNKNOWN").when(F.col("_trend") > 0.02, "BULLISH").when(F.col("_trend") < -0.02, "BEARISH").otherwise("SIDEWAYS").alias("trend"),
+        F.when(F.col("_now") > 1.5, "HIGH").when(F.col("_now") < 0.5, "LOW").otherwise("NORMAL").alias("volume_state"),
+    )
+
+
+#: The adverse risk that each leverage still bears.
+LEVERAGE_RISK = {10: 0.1, 15: 0.08, 20: 0.07, 25: 0.06, 30: 0.05, 40: 0.04, 50: 0.035, 60: 0.03, 75: 0.025, 100: 0.02}
+
+
+def liquidation_price(entry, leverage, long: bool = True):
+    """Price at which the margin is exhausted."""
+    return entry * (1 - 1 / leverage) if long else entry * (1 + 1 / leverage)
+
+
+def liquidation_prices(df: DataFrame, price: str = "close", long: bool = True, leverages: tuple[int, ...] = tuple(LEVERAGE_RISK)) -> DataFrame:
+    """Long: leverage, liquidation price and the relative distance to it."""
+    v, l = F.col(price), F.col("leverage")
+    x = df.withColumn("leverage", F.explode(F.array(*[F.lit(n) for n in leverages]))).withColumn("liquidation_price", liquidation_price(v, l, long))
+    return x.withColumn("distance", F.abs(v - F.col("liquidation_price")) / v)
 
 
-def liquidation_price(entry, leverage, maintenance: float = 0.005, long: bool = True):
-    """Price at which margin is exhausted."""
-    return entry * (1 - 1 / leverage + maintenance) if long else entry * (1 + 1 / leverage - maintenance)
+def safe_leverage(risk, multiplier: float = 0.8, least: int = 10, most: int = 100, levels: dict[int, float] = LEVERAGE_RISK):
+    """The greatest leverage whose level bears the adverse risk (levels fall as leverage rises), times a safety factor, within bounds."""
+    own = F.coalesce(*[F.when(risk <= bears, n) for n, bears in sorted(levels.items(), reverse=True)], F.lit(least))
+    return F.greatest(F.lit(least), F.least((own * multiplier).cast("int"), F.lit(most)))
 
 
-def safe_leverage(volatility, most: float = 20.0, deviations: float = 3.0):
-    return E.clip(F.try_divide(F.lit(1.0), deviations * volatility), 1, most)
+def risk_level(risk):
+    """Name of an adverse risk."""
+    return F.when(risk <= 0.05, "VERY_LOW").when(risk <= 0.1, "LOW").when(risk <= 0.2, "MODERATE").when(risk <= 0.3, "HIGH").otherwise("VERY_HIGH")

@@ -15,31 +15,51 @@ def ema_adx_features(bars: DataFrame, fast: int = 21, slow: int = 55, n: int = 1
 
 
 def classify(features: DataFrame, slow: int = 55, trend: float = 25.0, sideways: float = 20.0, least_separation: float = 0.0) -> DataFrame:
-    """regime BULL, BEAR or SIDEWAYS and a confidence, from ema_fast, ema_slow and adx."""
+    """regime BULL, BEAR or SIDEWAYS and a confidence, from ema_fast, ema_slow and adx.  0 < sideways < trend."""
+    if not 0 < sideways < trend or least_separation < 0:
+        raise ValueError("0 < sideways < trend, and separation isn't negative")
     x = features.withColumn("separation", F.coalesce(F.try_divide(F.abs(F.col("ema_fast") - F.col("ema_slow")), E.mean("close", slow)), F.lit(0.0)))
-    strong = (F.col("adx") >= trend) & (F.col("separation") >= max(least_separation, 0.0))
-    regime = F.when(F.col("adx") <= sideways, "SIDEWAYS").when(strong & (F.col("ema_fast") > F.col("ema_slow")), "BULL").when(strong & (F.col("ema_fast") < F.col("ema_slow")), "BEAR").otherwise("SIDEWAYS")
-    flat = E.clip((sideways - F.col("adx")) / max(sideways, 1e-6), 0.2, 1)
-    rising = E.clip(0.5 * E.clip((F.col("adx") - sideways) / max(trend - sideways, 1e-6), 0, 1) + 0.5 * E.clip(F.col("separation") * 10, 0, 1), 0.2, 1)
-    return x.withColumn("regime", regime).withColumn("confidence", F.when(F.col("regime") == "SIDEWAYS", flat).otherwise(rising))
+    adx, apart = F.col("adx"), F.col("separation")
+    trending = (adx > sideways) & (adx >= trend) & (apart >= least_separation)
+    regime = F.when(trending & (F.col("ema_fast") > F.col("ema_slow")), "BULL").when(trending & (F.col("ema_fast") < F.col("ema_slow")), "BEAR").otherwise("SIDEWAYS")
+    share = lambda c: E.clip(c, 0, 1)
+    flat, rising = 1 - adx / sideways, (share((adx - sideways) / (trend - sideways)) + share(10 * apart)) / 2
+    return x.withColumn("regime", regime).withColumn("confidence", E.clip(F.when(F.col("regime") == "SIDEWAYS", flat).otherwise(rising), 0.2, 1))
 
 
 def regime_ema_adx(bars: DataFrame) -> DataFrame:
     return classify(ema_adx_features(bars))
 
 
-def calibrate(features: DataFrame, low: float = 0.25, high: float = 0.35, rounds: int = 6) -> tuple[float, float]:
-    """Moves the thresholds until the share of SIDEWAYS is within bounds; one aggregate a round over cached features."""
-    trend, sideways = 25.0, 20.0
-    features = features.persist()
+#: Steps of the trend, sideways and separation thresholds, their bounds, and the least distance of the first two.
+STEPS, ADX_BOUNDS, SEPARATION_BOUNDS, GAP = (2.0, 1.0, 0.0005), (5.0, 60.0), (0.0, 0.02), 1.0
+
+
+def calibrate(features: DataFrame, low: float = 0.25, high: float = 0.35, rounds: int = 6, trend: float = 25.0, sideways: float = 20.0, separation: float = 0.0) -> DataFrame:
+    """Moves the thresholds until the share of SIDEWAYS is within bounds: one row of thresholds, the share and the rounds taken.
+
+    Too many make trends easier (all thresholds fall), too few make them harder.  All states that rounds can reach are known
+    beforehand, so their shares come from one aggregation and the walk through them from the driver.
+    """
+    def moved(state: tuple[float, float, float], sign: int) -> tuple[float, float, float]:
+        t, s, e = state
+        t = min(max(t + sign * STEPS[0], ADX_BOUNDS[0]), ADX_BOUNDS[1])
+        s = min(max(s + sign * STEPS[1], ADX_BOUNDS[0]), t - GAP)
+        return t, s, min(max(e + sign * STEPS[2], SEPARATION_BOUNDS[0]), SEPARATION_BOUNDS[1])
+
+    reach, edge = {(trend, sideways, separation)}, {(trend, sideways, separation)}
     for _ in range(rounds):
-        share = classify(features, trend=trend, sideways=sideways).agg(F.avg((F.col("regime") == "SIDEWAYS").cast("int"))).first()[0]
-        if share is None or low <= share <= high:
-            break
-        step = 2.0 if share < low else -2.0
-        trend, sideways = max(10.0, trend + step), max(5.0, sideways + step)
-    features.unpersist()
-    return trend, sideways
+        edge = {moved(x, sign) for x in edge for sign in (-1, 1)} - reach
+        reach |= edge
+    order = sorted(reach)
+    x = classify(features, trend=trend, sideways=sideways)
+    up = F.col("ema_fast") != F.col("ema_slow")
+    flat = lambda t, s, e: F.avg((~((F.col("adx") > s) & (F.col("adx") >= t) & (F.col("separation") >= e) & up)).cast("int"))
+    got = x.agg(*[F.coalesce(flat(*v), F.lit(0.0)).alias(f"s{n}") for n, v in enumerate(order)]).first()
+    share, state, n = {v: got[f"s{i}"] for i, v in enumerate(order)}, (trend, sideways, separation), 0
+    while n < rounds and not low <= share[state] <= high:
+        state, n = moved(state, -1 if share[state] > high else 1), n + 1
+    return features.sparkSession.createDataFrame([(*state, float(share[state]), n)], "trend double, sideways double, separation double, share double, rounds int")
 
 
 def distribution(df: DataFrame, column: str = "regime", keys: list[str] | None = None) -> DataFrame:
@@ -125,10 +145,64 @@ def state_names(df: DataFrame, score: str, names: tuple[str, str, str] = ("low",
     return df.withColumn("state_name", F.when(r < 1 / 3, names[0]).when(r < 2 / 3, names[1]).otherwise(names[2]))
 
 
-def location(bars: DataFrame, n: int = 24, near: float = 0.005) -> DataFrame:
-    """PIVOT_R, PIVOT_S, CONFLUENCE or OPEN_RANGE by distance to the extremes of the last n bars, on price."""
-    w = E.frame(n, -1)
-    r, s = F.max("high").over(w), F.min("low").over(w)
-    close = F.col("close")
-    at_r, at_s = F.coalesce(F.abs(close - r) / close <= near, F.lit(False)), F.coalesce(F.abs(close - s) / close <= near, F.lit(False))
-    return bars.withColumn("location", F.when(at_r & at_s, "CONFLUENCE").when(at_r, "PIVOT_R").when(at_s, "PIVOT_S").otherwise("OPEN_RANGE"))
+def location(bars: DataFrame, long: int = 720, short: int = 24, near: float = 0.01, least_touches: int = 1, of: str | None = None, key: str = E.KEY) -> DataFrame:
+    """Where a bar stands: PIVOT_S or PIVOT_R near a classic level of the ``short`` bars before, HVN_SUPPORT or HVN_RESISTANCE near one of
+    the two levels of greatest volume that were touched, CONFLUENCE_S or CONFLUENCE_R near both kinds, else OPEN_RANGE.
+
+    ``of``: the column that is compared with the levels; by default the change of the close, as in the model this restates (which
+    is near a price only where prices are near 0); "close" compares prices.  The first ``long`` bars are OPEN_RANGE.
+    """
+    from tidewell.operators.profile import volume_levels
+
+    w = E.frame(short, -1, key=key)
+    x = bars.withColumns({"_i": F.row_number().over(E.series(key)) - 1, "_n": F.count("*").over(Window.partitionBy(key)), "_v": F.col(of) if of else E.diff("close", key=key), "_h": F.max("high").over(w), "_l": F.min("low").over(w), "_c": F.last("close").over(w)})
+    v, h, l = F.col("_v"), F.col("_h"), F.col("_l")
+    x = x.withColumn("_p", (h + l + F.col("_c")) / 3)
+    p = F.col("_p")
+    close_to = lambda level: F.coalesce(F.abs(v - level) / (F.abs(v) + 1e-8) <= near, F.lit(False))
+    at = lambda level: (level > 0) & close_to(level)
+    pivot = F.when(at(2 * p - h) | at(p - (h - l)), "S").when(at(2 * p - l) | at(p + (h - l)), "R")
+    levels = volume_levels(bars, 2, key).where(F.col("touches") >= least_touches).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "price"))).alias("_levels"))  # two levels a series
+    x = x.withColumn("_pivot", pivot).join(levels, key, "left")
+    hit = F.get(F.filter(F.coalesce("_levels", F.array().cast("array<struct<rank:int,price:double>>")), lambda y: close_to(y["price"])), 0)
+    x = x.withColumn("_node", F.when(hit.isNotNull(), F.when(v > hit["price"], "SUPPORT").otherwise("RESISTANCE")))
+    both = F.when((F.col("_pivot") == "S") & (F.col("_node") == "SUPPORT"), "CONFLUENCE_S").when((F.col("_pivot") == "R") & (F.col("_node") == "RESISTANCE"), "CONFLUENCE_R")
+    name = F.coalesce(both, F.concat(F.lit("PIVOT_"), "_pivot"), F.concat(F.lit("HVN_"), "_node"), F.lit("OPEN_RANGE"))
+    ready = (F.col("_n") >= long) & (F.col("_i") >= long) & v.isNotNull()
+    return x.withColumn("location", F.when(ready, name).otherwise("OPEN_RANGE")).drop("_i", "_n", "_v", "_h", "_l", "_c", "_p", "_pivot", "_levels", "_node")
+
+
+def volatile(df: DataFrame, n: int = 100, share: float = 0.8, atr: float = 0.035, width: float = 0.045, key: str = E.KEY) -> DataFrame:
+    """1 where any sign of high volatility shows: a high rolling rank of either volatility, a wide normalised ATR or band, or a rise of volatility.
+
+    Columns: ewma_volatility_20, volatility_10, volatility_20, atr_normalized, bb_width.
+    """
+    ranks = [F.coalesce(E.rolling_rank_pct(c, n, key=key) > share, F.lit(False)) for c in ("ewma_volatility_20", "volatility_10")]
+    more = [F.coalesce(c, F.lit(False)) for c in (F.col("atr_normalized") > atr, F.col("bb_width") > width, E.diff("volatility_20", key=key) > 0)]
+    out = ranks[0] | ranks[1]
+    for c in more:
+        out = out | c
+    return df.withColumn("volatility_regime", out.cast("int"))
+
+
+REGIME_FEATURES = (
+    "log_returns", "price_change", "high_low_diff_ratio", "close_open_diff_ratio", "volatility_20", "volatility_10", "volatility_5", "ewma_volatility_20", "volume_ratio", "volume_change",
+    "rsi", "macd", "macd_signal", "macd_hist", "bb_position", "bb_width", "atr", "atr_normalized", "adx", "volatility_regime", "volatility_acceleration", "volatility_momentum",
+)
+
+
+def regime_features(bars: DataFrame, key: str = E.KEY) -> DataFrame:
+    """REGIME_FEATURES of every bar; NULL while a window is not full."""
+    from tidewell.operators.indicators import atr, bollinger, macd, rsi
+
+    c, tiny = F.col, 1e-8
+    ratio = lambda a, b: F.when(F.abs(E.diff(b, key=key)) > tiny, E.clip(E.div(E.diff(a, key=key), E.diff(b, key=key)), -100, 100)).otherwise(1.0)
+    x = bars.withColumns({"log_returns": E.log_return("close", key=key), "price_change": E.pct("close", key=key), "high_low_diff_ratio": ratio("high", "low"), "close_open_diff_ratio": ratio("close", "open"), "volume_change": E.pct("volume", key=key)})
+    x = x.withColumns({f"volatility_{n}": E.std("log_returns", n, key=key) for n in (20, 10, 5)})
+    x = ewm(x, [Ewm("ewma_volatility_20", "log_returns", span=20, std=True)])
+    mean = E.mean("volume", 20, key=key)
+    x = x.withColumn("volume_ratio", F.when(mean > tiny, E.clip(E.div("volume", mean), 0, 50)).otherwise(1.0))
+    x = adx_ref(atr(bollinger(macd(rsi(x)))))
+    x = x.withColumn("atr_normalized", E.clip(c("atr") / (F.abs(E.diff("close", key=key)) + tiny), 0, 10))
+    x = volatile(x, key=key).withColumns({"volatility_acceleration": E.diff("volatility_20", key=key), "volatility_momentum": E.diff("volatility_20", 5, key=key)})
+    return x.select(*bars.columns, *REGIME_FEATURES)

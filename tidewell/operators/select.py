@@ -10,24 +10,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _moments(columns: list[str], centre: list[float]):
+    """Partial sums (i, j, n, a, b, aa, bb, ab) over the rows where both columns are known, one set a task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        c = len(columns)
+        sums = np.zeros((6, c, c))
+        for b in batches:
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(c)], 1) - np.array(centre)
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            sums += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+        i, j = np.tril_indices(c, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(s[i, j]) for s in sums)], ["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+
+    return run
+
+
+def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, j, r) of columns j < i: Pearson from one pass of matrix products, whose size doesn't depend on the rows."""
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    centre = x.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns]).first()  # keeps the sums small
+    parts = x.mapInArrow(_moments(columns, [float(v) for v in centre]), "i int, j int, n double, a double, b double, aa double, bb double, ab double")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    va, vb = F.col("n") * F.col("aa") - F.col("a") * F.col("a"), F.col("n") * F.col("bb") - F.col("b") * F.col("b")
+    return s.select("i", "j", F.when((va > 0) & (vb > 0), (F.col("n") * F.col("ab") - F.col("a") * F.col("b")) / F.sqrt(va * vb)).alias("r"))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Pearson, by one pass."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+    """Pearson, over the rows where both columns are known."""
     out = np.eye(len(columns))
-    if pairs:
-        got = df.agg(*[F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-        for i, j in pairs:
-            v = got[f"c{i}_{j}"]
-            out[i, j] = out[j, i] = np.nan if v is None else v
+    for r in _pairs(df, columns).collect() if len(columns) > 1 else []:  # a row per pair of columns
+        out[r.i, r.j] = out[r.j, r.i] = np.nan if r.r is None else r.r
     return out
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long (a, b, r) for every pair of columns."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.explode(rows).alias("x")).select("x.*")
+    name = lambda c: F.element_at(F.array(*[F.lit(x) for x in columns]), F.col(c) + 1)
+    return _pairs(df, columns).select(name("j").alias("a"), name("i").alias("b"), "r")
 
 
 def prune_correlated(df: DataFrame, columns: list[str], most: float = 0.95) -> list[str]:

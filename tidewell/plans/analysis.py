@@ -54,11 +54,6 @@ def exit_hazard(spark, sf):
     return regimes.exit_hazard(x, "UP", "s").select(*K, "exit_hazard")
 
 
-@query(f"WITH {BARS}, c AS (SELECT *, max(high) {over(24, -1)} AS r, min(low) {over(24, -1)} AS s FROM bars), d AS (SELECT *, coalesce(abs(close - r) / close <= 0.005, false) AS x, coalesce(abs(close - s) / close <= 0.005, false) AS y FROM c) SELECT symbol, ts, CASE WHEN x AND y THEN 'CONFLUENCE' WHEN x THEN 'PIVOT_R' WHEN y THEN 'PIVOT_S' ELSE 'OPEN_RANGE' END AS location FROM d")
-def location_class(spark, sf):
-    return regimes.location(hourly(spark, sf)).select(*K, "location")
-
-
 _P3 = _a(3)
 _SP = recursive("u", {"a": "x.up", "b": "1 - x.up"}, {"a": f"(1 - {_P3}) * r.a + {_P3} * x.up", "b": f"(1 - {_P3}) * r.b + {_P3} * (1 - x.up)"})
 
@@ -177,11 +172,6 @@ def event_cooldown(spark, sf):
     return V.cooldown(V.triggers(_scores(spark, sf), _TH)).select("symbol", "event_label", "row_index")
 
 
-@query()
-def event_nms(spark, sf):
-    return V.suppress(V.cooldown(V.triggers(_scores(spark, sf), _TH))).select("symbol", "event_label", "row_index", F.round("intensity", 6).alias("intensity"))
-
-
 @query(f"""WITH {_EDGE}, w AS (SELECT *, list(close) {over(60, -1)} AS pre, list(close) {over(-1, 20)} AS post FROM sc), x AS (SELECT ed.symbol, ed.row_index, ed.event_label, close, pre, post FROM ed JOIN w ON w.symbol = ed.symbol AND w.row_index = ed.row_index WHERE len(pre) = 60 AND len(post) = 20)
 SELECT symbol, row_index, event_label, round(list_avg(pre), 6) AS pre_mean, round(post[20] / close - 1, 6) AS end_return, list_min(list_transform(range(1, 21), lambda i: CASE WHEN post[i] / close - 1 >= 0.1 THEN i END))::DOUBLE AS bars_to_profit FROM x""")
 def event_windows(spark, sf):
@@ -236,11 +226,6 @@ def vwap_levels(spark, sf):
     return out(profile.vwap_levels(hourly(spark, sf)), "vwap")
 
 
-@query(f"WITH {steps(BARS, {'tr': TR})}, g AS (SELECT symbol, 0.25 * avg(tr) AS w, min(close) AS lo, count(*) AS n FROM s1 GROUP BY 1), p AS (SELECT symbol, floor((close - lo) / w)::BIGINT AS bin, sum(volume) AS volume, count(*) AS touches, first(lo) AS lo, first(w) AS w, first(n) AS n FROM s1 JOIN g USING (symbol) GROUP BY 1, 2), o AS (SELECT *, 0.5 * volume / max(volume) OVER (PARTITION BY symbol) + 0.3 * touches / max(touches) OVER (PARTITION BY symbol) + 0.2 * touches / n AS strength, (row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, bin))::INT AS rank FROM p) SELECT symbol, rank, round(lo + (bin + 0.5) * w, 6) AS level, volume, touches, round(strength, 6) AS strength FROM o WHERE rank <= 2")
-def volume_levels(spark, sf):
-    return rounded(profile.volume_levels(hourly(spark, sf)))
-
-
 @query(f"WITH {BARS}, p AS (SELECT symbol, close AS price, CASE WHEN (close - {lag('close').replace('ORDER BY ts', 'ORDER BY close')}) / {lag('close').replace('ORDER BY ts', 'ORDER BY close')} > 0.005 THEN 1 ELSE 0 END AS c FROM bars), g AS (SELECT symbol, price, sum(c) OVER (PARTITION BY symbol ORDER BY price ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS cluster FROM p) SELECT symbol, cluster, round(avg(price), 6) AS level, count(*) AS touches FROM g GROUP BY 1, 2 HAVING count(*) >= 2")
 def price_clusters(spark, sf):
     return rounded(profile.cluster_prices(hourly(spark, sf).select("symbol", F.col("close").alias("price"))))
@@ -251,11 +236,6 @@ def wavelet_haar(spark, sf):
     return out(profile.haar(hourly(spark, sf)), "haar_1", "haar_2", "haar_3")
 
 
-@query()
-def rolling_volume_profile(spark, sf):
-    return out(profile.rolling_profile(hourly(spark, sf)), "profile_poc", "profile_low", "profile_high")
-
-
 # selection and scaling on bars
 
 _COLS = ["open", "high", "low", "close", "volume"]
@@ -356,48 +336,6 @@ def gated_sharpe(spark, sf):
     return rounded(metrics.gated_sharpe(_returns(spark, sf), "gate"))
 
 
-@query(f"WITH {_RET} SELECT symbol, round(least(greatest(avg(r) / var_samp(r), 0), 2), 6) AS kelly FROM rt GROUP BY 1")
-def kelly(spark, sf):
-    return rounded(metrics.kelly(_returns(spark, sf)))
-
-
 @query(f"WITH {_RET} SELECT symbol, sum((intensity >= 0.6)::INT)::BIGINT AS trades, round(sum(CASE WHEN intensity >= 0.6 AND up = next_up THEN 0.01::DOUBLE WHEN intensity >= 0.6 THEN -0.01::DOUBLE ELSE 0 END), 6) AS pnl, round(avg(CASE WHEN intensity >= 0.6 THEN (up = next_up)::INT END), 6) AS win_rate FROM rt GROUP BY 1")
 def prediction_scores(spark, sf):
     return rounded(metrics.prediction_scores(_returns(spark, sf), "intensity", "up", "next_up"))
-
-
-@query(f"WITH {_RET}, t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold) SELECT threshold, round(avg((intensity >= threshold)::INT), 6) AS coverage, round(sum(CASE WHEN intensity >= threshold AND r > 0 THEN r END) / -sum(CASE WHEN intensity >= threshold AND r < 0 THEN r END), 6) AS profit_factor FROM rt, t GROUP BY 1")
-def activation_threshold(spark, sf):
-    return rounded(metrics.activation_threshold(_returns(spark, sf), "intensity"))
-
-
-@query(f"WITH {_RET}, b2 AS (SELECT b.*, rt.r * 100 AS rr FROM bars b JOIN rt ON rt.symbol = b.symbol AND rt.ts = b.ts QUALIFY row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts DESC) <= 50), s AS (SELECT symbol, least(greatest(stddev_samp(rr) / 0.05::DOUBLE, 0), 1) AS stress, least(greatest(1 - stddev_samp(volume) / (2 * avg(volume)), 0), 1) AS liquidity, avg((rr > 0)::INT) AS breadth FROM b2 GROUP BY 1) SELECT symbol, round(stress, 6) AS stress, round(liquidity, 6) AS liquidity, round(breadth, 6) AS breadth, round((1 - stress) * 0.4 + liquidity * 0.3 + breadth * 0.3, 6) AS health FROM s")
-def market_scores(spark, sf):
-    return rounded(metrics.market_scores(hourly(spark, sf)))
-
-
-# backtests
-
-
-def _armed(spark, sf):
-    return I.atr(_signal(hourly(spark, sf)))
-
-
-@query()
-def backtest_simple(spark, sf):
-    return rounded(backtest.simple(_armed(spark, sf)))
-
-
-@query()
-def backtest_score(spark, sf):
-    return rounded(backtest.score(backtest.simple(_armed(spark, sf))))
-
-
-@query()
-def backtest_parameter_grid(spark, sf):
-    return rounded(backtest.over_parameters(_armed(spark, sf), [{"take": 2.0, "stop": 1.0}, {"take": 3.0, "stop": 1.5}]))
-
-
-@query()
-def backtest_ledger(spark, sf):
-    return rounded(backtest.ledger(_signal(hourly(spark, sf))))

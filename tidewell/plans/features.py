@@ -95,31 +95,11 @@ def state_names(spark, sf):
     return regimes.state_names(hourly(spark, sf).groupBy("symbol").agg(F.avg("volume").alias("v")), "v").select("symbol", "state_name")
 
 
-@query(f"""WITH {steps(BARS, {'a': f'list(close) {over(-1, 8)}'})}, r AS (SELECT symbol, ts, list_transform(a, lambda x: x / close - 1) AS r FROM s1 WHERE len(a) = 8)
-SELECT symbol, ts, CASE WHEN list_max(list_transform(r[1:4], lambda x: abs(x))) < 0.5 AND list_max(list_transform(r[5:8], lambda x: abs(x))) >= 0.5 THEN 'begin' WHEN sign(r[4]) = sign(r[8]) AND abs(r[8]) > abs(r[4]) THEN 'continuation' WHEN sign(r[4]) <> sign(r[8]) THEN 'reversal' ELSE 'end' END AS path FROM r""")
-def path_classes(spark, sf):
-    x = hourly(spark, sf).withColumn("a", F.collect_list("close").over(E.frame(-1, 8))).where(F.size("a") == 8)
-    x = x.withColumn("r", F.transform("a", lambda v: v / F.col("close") - 1))
-    return x.select(*K, V.path_class(F.col("r"), 0.5).alias("path"))
-
-
-@query(f"WITH {BARS}, p AS (SELECT ts, symbol AS timeframe, CASE WHEN high > low THEN (close - low) / (high - low) ELSE 0 END AS p FROM bars), w AS (SELECT *, CASE timeframe WHEN 'click' THEN 2.0 WHEN 'view' THEN 1.0 WHEN 'error' THEN 0.5 ELSE 0 END::DOUBLE AS w FROM p), c AS (SELECT ts, sum(w * p) / nullif(sum(w), 0) AS p FROM w GROUP BY 1) SELECT ts, round(p, 6) AS p, coalesce((p >= 0.5)::INT, 0) AS gate FROM c")
-def combined_probabilities(spark, sf):
-    x = hourly(spark, sf).select("ts", F.col("symbol").alias("timeframe"), F.coalesce(E.div(F.col("close") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)).alias("p"))
-    return rounded(V.combine_probabilities(x, {"click": 2.0, "view": 1.0, "error": 0.5}, ["ts"]))
-
-
 @query(f"WITH {BARS} SELECT symbol, count(*) AS n_rows, sum(CASE WHEN volume > 20 THEN 1 ELSE 0 END)::BIGINT AS n_null, count(*) - count(DISTINCT ts) AS n_repeated, round(count(DISTINCT ts) / (date_diff('hour', min(ts), max(ts)) + 1), 6) AS coverage FROM bars GROUP BY 1")
 def data_quality(spark, sf):
     return rounded(X.data_quality(hourly(spark, sf).withColumn("volume", F.when(F.col("volume") <= 20, F.col("volume")))))
 
 
-@query(f"WITH {BARS}, p AS (SELECT symbol, ts, close, pow(10, floor(log10(close))) AS p FROM bars) SELECT symbol, ts, round(floor(close / p) * p, 6) AS below, round(floor(close / p) * p + p, 6) AS above FROM p")
-def round_levels(spark, sf):
-    x = hourly(spark, sf).withColumn("l", profile.round_levels(F.col("close")))
-    return out(x.withColumns({"below": F.get("l", 0), "above": F.get("l", 2)}), "below", "above")
-
-
 @query(f"WITH RECURSIVE {_ML}, k AS (SELECT symbol, ts, breakout_success, momentum_ignition FROM meta) SELECT symbol, sum(breakout_success)::BIGINT AS breakouts, sum(momentum_ignition)::BIGINT AS ignitions FROM k GROUP BY 1")
 def meta_label_counts(spark, sf):
     return L.meta_labels(hourly(spark, sf)).groupBy("symbol").agg(F.sum("breakout_success").alias("breakouts"), F.sum("momentum_ignition").alias("ignitions"))
