@@ -71,3 +71,32 @@ def nearest_level(df: DataFrame, levels: list[float], column: str = "close") ->
     """Least relative distance to any of a few literal levels."""
     near = F.array_min(F.array(*[F.abs(F.col(column) - F.lit(float(x))) for x in levels]))
     return F.try_divide(near, F.col(column))
+
+
+def with_weights(df: DataFrame, weights: DataFrame, keys: list[str], column: str = "sample_weight", default: float = 1.0) -> DataFrame:
+    """Left join of one column, with a value for rows that have none."""
+    own = weights.select(*keys, F.col(column).alias("_w"))
+    return df.join(own, keys, "left").withColumn(column, F.coalesce("_w", F.lit(default))).drop("_w")
+
+
+def index_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on the index; what the right side lacks is 0 in its numeric columns."""
+    own = [c for c in right.columns if c not in keys]
+    return left.join(right, keys, "left").na.fill(0, own)
+
+
+def on_common_index(frames: list[DataFrame], keys: list[str]) -> list[DataFrame]:
+    """Each frame with the index values that all of them have."""
+    common = frames[0].select(*keys)
+    for f in frames[1:]:
+        common = common.intersect(f.select(*keys))
+    return [f.join(common, keys, "left_semi") for f in frames]
+
+
+def outer_features(parts: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Full outer join of the outputs of several generators; their columns are prefixed by the generator's name."""
+    out = None
+    for name, f in parts.items():
+        own = f.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in f.columns if c not in keys])
+        out = own if out is None else out.join(own, keys, "full")
+    return out

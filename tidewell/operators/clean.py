@@ -67,6 +67,54 @@ def drop_constant(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if stats[c].n and not stats[c].one])
 
 
+def drop_repeated_columns(df: DataFrame) -> DataFrame:
+    """Keeps the first of several columns of one name."""
+    first = {c: i for i, c in reversed(list(enumerate(df.columns)))}
+    names = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*names).select(*[F.col(f"_{i}").alias(c) for c, i in sorted(first.items(), key=lambda x: x[1])])
+
+
+def audit(df: DataFrame, columns: Iterable[str], mode: str = "warn", value: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The frame and its counts of missing and infinite values (long: column, missing, infinite).
+
+    mode: warn leaves the values, fill replaces them, raise refuses the frame.
+    """
+    cols = list(columns)
+    odd = {c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in cols}
+    wide = {c: F.abs(F.col(c).cast("double")) == float("inf") for c in cols}
+    n = lambda x: F.coalesce(F.sum(F.coalesce(x.cast("long"), F.lit(0))), F.lit(0))
+    one = [F.struct(F.lit(c).alias("column"), n(odd[c]).alias("missing"), n(wide[c]).alias("infinite")) for c in cols]
+    report = df.agg(F.array(*one).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    if mode == "raise" and (bad := [r.column for r in report.where("missing + infinite > 0").collect()]):
+        raise ValueError(f"missing or infinite values in {', '.join(bad)}")
+    if mode == "fill":
+        df = df.withColumns({c: F.when(odd[c] | F.coalesce(wide[c], F.lit(False)), F.lit(value).cast(dict(df.dtypes)[c])).otherwise(F.col(c)) for c in cols})
+    return df, report
+
+
+def repair_klines(bars: DataFrame, step: str = "1 hour", key: str = KEY) -> DataFrame:
+    """open_time and close_time from ts where they lack; volume and trades 0 where a series has none at all."""
+    have = set(bars.columns)
+    start = F.coalesce(*([F.col("open_time")] if "open_time" in have else []), F.col("ts"))
+    out = bars.withColumn("open_time", start)
+    end = F.expr(f"open_time + INTERVAL {step}")
+    out = out.withColumn("close_time", F.coalesce(*([F.col("close_time")] if "close_time" in have else []), end))
+    for c in ("volume", "trades"):
+        if c in have:
+            out = out.withColumn(c, F.when(F.count(c).over(Window.partitionBy(key)) == 0, F.lit(0).cast(dict(bars.dtypes)[c])).otherwise(F.col(c)))
+    return out
+
+
+def fill_typed(df: DataFrame, key: str = KEY) -> DataFrame:
+    """Missing numbers by the kind their names tell: prices are carried forward, volumes and counts are 0, flags 0, ratios 1."""
+    kinds = (("ratio", F.lit(1.0)), ("volume", F.lit(0.0)), ("count", F.lit(0.0)), ("trades", F.lit(0.0)), ("is_", F.lit(0.0)), ("flag", F.lit(0.0)))
+    todo = {}
+    for c in numeric(df):
+        default = next((v for part, v in kinds if part in c), None)
+        todo[c] = F.coalesce(c, default.cast(dict(df.dtypes)[c])) if default is not None else ffill(c, key=key)
+    return df.withColumns(todo)
+
+
 def repair_series(df: DataFrame, columns: list[str], key: str = KEY) -> DataFrame:
     """NaN and infinities to NULL, then carried forward, then backward, then 0."""
     for c in columns:

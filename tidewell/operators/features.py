@@ -86,6 +86,18 @@ def expanding_rank(df: DataFrame, column: str, key: str = E.KEY, block: int = 20
     return df.groupBy(key).applyInArrow(run, T.StructType([*df.schema.fields, T.StructField(f"{column}_rank", T.DoubleType())]))
 
 
+def normalised(bars: DataFrame, n: int = 20, key: str = E.KEY) -> DataFrame:
+    """Log price without its rolling mean, and volume in rolling deviations from its mean (frames may be shorter at the start)."""
+    p, w = F.ln("close"), E.frame(n - 1, 0, key=key)
+    return bars.withColumns({"detrended": p - F.avg(p).over(w), "normalised_volume": F.try_divide(F.col("volume") - F.avg("volume").over(w), F.stddev_samp("volume").over(w))})
+
+
+def snapshot(df: DataFrame, columns: list[str], flags: dict, key: str = E.KEY, ts: str = "ts") -> DataFrame:
+    """The latest row of each series: values and flags (conditions, 1 or 0)."""
+    x = df.select(key, ts, *columns, *[E.flag(c).alias(n) for n, c in flags.items()])
+    return x.groupBy(key).agg(F.max_by(F.struct(ts, *columns, *flags), ts).alias("x")).select(key, "x.*")
+
+
 def slopes(df: DataFrame, columns: tuple[str, ...] = ("ema_20", "sma_50"), key: str = E.KEY) -> DataFrame:
     """Change of each column from the bar before."""
     return df.withColumns({f"{c}_slope": E.diff(c, key=key) for c in columns})

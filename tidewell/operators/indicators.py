@@ -142,15 +142,30 @@ LENGTHS = {"1m": {"rsi": 7, "macd": (6, 12, 4), "bb": 10}, "5m": {"rsi": 10, "ma
 
 
 def timeframe_set(bars: DataFrame, timeframe: str) -> DataFrame:
-    """RSI, MACD, Bollinger, ATR, volatility and their relatives with the lengths of a timeframe."""
+    """Momentum, trend, band, volume and volatility indicators with the lengths of a timeframe."""
     own = LENGTHS[timeframe]
-    out = rsi(bars, own["rsi"])
-    out = macd(out, *own["macd"])
-    out = bollinger(out, own["bb"])
-    out = williams_r(stochastic(obv(atr(out))))
-    out = out.withColumn("_r", E.pct("close"))
-    out = out.withColumn("volatility", E.std("_r", own["bb"])).withColumn("volatility_ratio", F.try_divide(F.col("volatility"), E.mean("volatility", 2 * own["bb"])))
-    return out.drop("_r")
+    n = own["bb"]
+    out = adx_wilder(cci(williams_r(stochastic(volume_price_trend(obv(atr(bollinger(macd(rsi(bars, own["rsi"]), *own["macd"]), n))))))))
+    out = vwap(out, n)
+    out = out.withColumns({"_r": E.pct("close"), "roc": E.pct("close", 10), "volume_sma": E.mean("volume", n), "volume_momentum": E.pct("volume", 5)})
+    square = E.total(F.col("_r") * F.col("_r"), n)
+    out = out.withColumns({"volatility": E.std("_r", n), "realized_volatility": F.sqrt(square), "volume_ratio": E.div("volume", "volume_sma")})
+    return out.withColumn("volatility_ratio", E.div("volatility", E.mean("volatility", 2 * n))).drop("_r")
+
+
+def timeframe_sets(bars: DataFrame, frames: dict[str, str], wanted: list[str], key: str = E.KEY) -> DataFrame:
+    """The wanted indicators of several longer timeframes beside every base bar (suffix _<timeframe>), from closed bars only.
+
+    frames: timeframe to its interval in SQL.
+    """
+    from tidewell.operators.align import higher_timeframe
+    from tidewell.operators.bars import resample
+
+    out = bars
+    for name, interval in frames.items():
+        own = timeframe_set(resample(bars, name), name if name in LENGTHS else "1h").select(key, "ts", *[F.col(c).alias(f"{c}_{name}") for c in wanted])
+        out = higher_timeframe(out, own, [f"{c}_{name}" for c in wanted], interval, key)
+    return out
 
 
 def time_features(df: DataFrame, ts: str = "ts") -> DataFrame:

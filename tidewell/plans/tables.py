@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import bars as B, clean, metrics, select
 from tidewell.plans.base import OHLC, TRADES, query, rounded
+from tidewell.session import fresh_folder
 from tidewell.sources import datasets, schemas
 from tidewell.sources.schemas import table
 from tidewell.streaming import bars as S
@@ -176,10 +175,8 @@ def _ticks(spark, sf):
     return S.with_event_time(x)
 
 
-def _memory(spark, df, mode="append"):
-    name = f"t{uuid.uuid4().hex}"
-    S.run_available(df, name=name, mode=mode)
-    return spark.table(name)
+def _table(spark, df, mode="append", latest=None):
+    return S.run_to_table(df, fresh_folder(spark, "stream"), mode, latest)
 
 
 _CLOSED = f"WITH {TRADES}, w AS (SELECT max(ts) - INTERVAL 10 minutes AS mark FROM trades)"
@@ -187,24 +184,82 @@ _CLOSED = f"WITH {TRADES}, w AS (SELECT max(ts) - INTERVAL 10 minutes AS mark FR
 
 @query(f"{_CLOSED}, b AS (SELECT symbol, date_trunc('hour', ts) AS ts, {OHLC} FROM trades GROUP BY symbol, date_trunc('hour', ts)) SELECT b.* FROM b, w WHERE b.ts + INTERVAL 1 hour <= mark")
 def stream_tumbling_bars(spark, sf):
-    return _memory(spark, S.bars(_ticks(spark, sf), "1 hour")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _table(spark, S.bars(_ticks(spark, sf), "1 hour")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"{_CLOSED}, s AS (SELECT *, unnest(range(0, 4)) AS k FROM trades), b AS (SELECT symbol, time_bucket(INTERVAL 15 minutes, ts) - INTERVAL 15 minutes * k AS ts, {OHLC.replace('ORDER BY ts', 'ORDER BY s.ts')} FROM s GROUP BY symbol, time_bucket(INTERVAL 15 minutes, s.ts) - INTERVAL 15 minutes * k) SELECT b.* FROM b, w WHERE b.ts + INTERVAL 1 hour <= mark")
 def stream_sliding_bars(spark, sf):
-    return _memory(spark, S.bars(_ticks(spark, sf), "1 hour", "15 minutes")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _table(spark, S.bars(_ticks(spark, sf), "1 hour", "15 minutes")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"{_CLOSED}, g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY symbol ORDER BY ts) + INTERVAL 1 hour OR lag(ts) OVER (PARTITION BY symbol ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM trades), s AS (SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM g), b AS (SELECT symbol, i, min(ts) AS start, max(ts) + INTERVAL 1 hour AS \"end\", count(*) AS trades, sum(quantity) AS volume FROM s GROUP BY 1, 2) SELECT symbol, start, \"end\", trades, volume FROM b, w WHERE \"end\" <= mark")
 def stream_sessions(spark, sf):
-    return _memory(spark, S.sessions(_ticks(spark, sf), "1 hour")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    return _table(spark, S.sessions(_ticks(spark, sf), "1 hour")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
 @query(f"WITH {TRADES} SELECT symbol, max(ts) AS ts, last(price ORDER BY ts, trade_id) AS price FROM trades GROUP BY 1")
 def stream_last_values(spark, sf):
-    return _memory(spark, S.last_values(_ticks(spark, sf), ["price"]), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _table(spark, S.last_values(_ticks(spark, sf), ["price"]), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"WITH RECURSIVE {TRADES}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS i FROM trades), r AS (SELECT symbol, ts, trade_id, i, price AS e FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.ts, n.trade_id, n.i, (1 - 2 / 22.0::DOUBLE) * r.e + 2 / 22.0::DOUBLE * n.price FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1) SELECT symbol, ts, trade_id, round(e, 6) AS ema FROM r")
 def stream_stateful_ema(spark, sf):
-    return rounded(_memory(spark, S.stateful_ema(_ticks(spark, sf), 21)).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    return rounded(_table(spark, S.stateful_ema(_ticks(spark, sf), 21)).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+_NTZ = lambda df, *cs: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cs or ("ts",)})
+
+
+@query(f"WITH {TRADES} SELECT symbol, trade_id, price FROM trades QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, trade_id DESC) <= 7")
+def stream_recent_trades(spark, sf):
+    return _table(spark, S.recent_trades(_ticks(spark, sf), 7), "update", "symbol").select("symbol", "trade_id", "price")
+
+
+@query(f"WITH {TRADES} SELECT trade_id, symbol, price FROM trades")
+def stream_distinct_ticks(spark, sf):
+    x = _ticks(spark, sf)
+    return _table(spark, S.distinct_ticks(x.unionByName(x), ["trade_id", "ts"])).select("trade_id", "symbol", "price")
+
+
+@query(f"WITH {TRADES}, f AS (SELECT symbol, ts, price / 100 AS rate FROM trades WHERE trade_id % 40 = 0 QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY trade_id) = 1) SELECT t.trade_id, t.symbol, round(f.rate, 6) AS rate FROM trades t ASOF LEFT JOIN f ON f.symbol = t.symbol AND t.ts >= f.ts")
+def stream_asof_static(spark, sf):
+    t = schemas.trades(spark, sf).where("trade_id % 40 = 0")
+    rates = clean.keep_one(t, ["symbol", "ts"], ["trade_id"], last=False).select("symbol", "ts", (F.col("price") / 100).alias("rate"))
+    return rounded(_table(spark, S.asof_static(_ticks(spark, sf), rates, "rate", days=3)).select("trade_id", "symbol", "rate"))
+
+
+@query(f"WITH {TRADES} SELECT symbol AS kind, count(*) AS n, round(sum(price), 6) AS total FROM trades WHERE symbol IN ('click', 'error') GROUP BY 1")
+def stream_event_bus(spark, sf):
+    base = fresh_folder(spark, "bus")
+    S.dispatch(_ticks(spark, sf), "symbol", {k: f"{base}/{k}" for k in ("click", "error")}, f"{base}/checkpoint")
+    parts = [spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/{k}").withColumn("kind", F.lit(k)) for k in ("click", "error")]
+    return rounded(parts[0].unionByName(parts[1]).groupBy("kind").agg(F.count("*").alias("n"), F.sum("price").alias("total")))
+
+
+@query(f"WITH {TRADES} SELECT trade_id, symbol, round(price - avg(price) OVER (PARTITION BY symbol ORDER BY ts, trade_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS score FROM trades")
+def stream_rolling_scores(spark, sf):
+    base = fresh_folder(spark, "scores")
+    w = Window.partitionBy("symbol").orderBy("ts", "trade_id").rowsBetween(-4, 0)
+    S.score_batches(_ticks(spark, sf), lambda x: x.withColumn("score", F.col("price") - F.avg("price").over(w)), f"{base}/history", f"{base}/scores", f"{base}/checkpoint", days=60)
+    return rounded(spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/scores").select("trade_id", "symbol", "score"))
+
+
+@query(f"WITH {TRADES} SELECT ts::DATE::VARCHAR AS day, count(*) AS n, round(sum(price), 6) AS total FROM trades GROUP BY 1")
+def stream_daily_conversion(spark, sf):
+    base, x = fresh_folder(spark, "daily"), _ticks(spark, sf)
+    S.to_daily(x, f"{base}/days", f"{base}/checkpoint", ["trade_id"])
+    S.to_daily(x, f"{base}/days", f"{base}/again", ["trade_id"])  # run again from the start: nothing is doubled
+    return rounded(spark.read.parquet(f"{base}/days").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum("price").alias("total")))
+
+
+@query(f"WITH {TRADES}, b AS (SELECT symbol, CASE WHEN is_buyer_maker THEN 'bid' ELSE 'ask' END AS side, floor(price / 10) * 10 AS price, quantity, ts, trade_id FROM trades), l AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY symbol, side, price ORDER BY trade_id DESC) = 1), q AS (SELECT *, coalesce(quantity, 0) % 50 AS qty FROM l WHERE coalesce(quantity, 0) % 50 <> 0) SELECT symbol, side, row_number() OVER (PARTITION BY symbol, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END) - 1 AS level, price, qty FROM q QUALIFY level < 5")
+def stream_order_book(spark, sf):
+    raw = table(spark, sf, "events")
+    x = S.tick_stream(spark, f"{sf}/events.parquet*", raw.schema).select(F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.when(F.col("user_id") % 2 == 0, "bid").otherwise("ask").alias("side"), (F.floor(F.col("value") / 10) * 10).cast("double").alias("price"), (F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS double)"), F.lit(0.0)) % 50).alias("qty"))
+    return _table(spark, S.order_book(x, depth=5), "update", "symbol")
+
+
+@query(f"{_CLOSED}, b AS (SELECT symbol, date_trunc('hour', ts) AS ts, {OHLC} FROM trades GROUP BY symbol, date_trunc('hour', ts)) SELECT b.symbol, b.ts, b.close FROM b, w WHERE b.ts + INTERVAL 1 hour <= mark AND trades >= 2")
+def stream_closed_candles(spark, sf):
+    x = S.bars(_ticks(spark, sf), "1 hour").withColumn("is_closed", F.col("trades") >= 2)
+    return _NTZ(_table(spark, S.closed_candles(x).select("symbol", "ts", "close")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,3 +36,21 @@ def ship(spark: SparkSession) -> None:
         for f in sorted((root / "tidewell").rglob("*.py")):
             z.write(f, f.relative_to(root))
     context.addPyFile(str(path))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where none is named, a local one, if the master is local too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared one."""
+    return f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"

@@ -46,11 +46,66 @@ def scan(spark: SparkSession, base: str, columns: list[str] | None = None, filte
     return df.limit(most) if most else df
 
 
+def scan_symbol(spark: SparkSession, base: str, exchange: str, symbol: str, timeframe: str | None = None, **kw) -> DataFrame:
+    """The scan of one exchange, symbol and timeframe, whose folders alone are read."""
+    wanted = [("exchange", "==", exchange), ("symbol", "==", symbol), *([("timeframe", "==", timeframe)] if timeframe else [])]
+    return scan(spark, base, filters=wanted, **kw)
+
+
+def transformed(df: DataFrame, transform, schema: str) -> DataFrame:
+    """A hook on a scan: a function from one Arrow table to another, batch by batch."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield from transform(pa.Table.from_batches([b])).combine_chunks().to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
+def checked(schema: str, strict: bool = True):
+    """A decorator for functions that return a DataFrame: columns and types must be as stated (or are cast, if not strict)."""
+    from functools import wraps
+
+    from pyspark.sql.types import StructType
+
+    def wrap(f):
+        @wraps(f)
+        def run(*a, **kw):
+            df, want = f(*a, **kw), StructType.fromDDL(schema)
+            have = {x.name: x.dataType for x in df.schema.fields}
+            if lacking := [x.name for x in want.fields if x.name not in have]:
+                raise TypeError(f"{f.__name__} lacks {', '.join(lacking)}")
+            if strict and (odd := [x.name for x in want.fields if have[x.name] != x.dataType]):
+                raise TypeError(f"{f.__name__} has other types of {', '.join(odd)}")
+            return df.select(*[F.col(x.name).try_cast(x.dataType).alias(x.name) for x in want.fields])
+
+        return run
+
+    return wrap
+
+
 def read_lenient(spark: SparkSession, path: str) -> DataFrame:
     """Skips files that can't be read."""
     return spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(path)
 
 
+def repair(spark: SparkSession, path: str, out: str, keys: list[str]) -> DataFrame:
+    """Rewrites what can be read of a dataset, without rows that lack a key and repeated rows, and reads it back."""
+    df = read_lenient(spark, path).na.drop(subset=keys).dropDuplicates()
+    df.write.mode("overwrite").parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def validate_files(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Per file: rows, bytes, and of the wanted columns how many values are missing."""
+    df = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(path)
+    lacking = [F.lit(None).alias(c) for c in columns if c not in df.columns]
+    x = df.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"), *[F.col(c) for c in columns if c in df.columns], *lacking)
+    return x.groupBy("file").agg(F.count("*").alias("rows"), F.first("bytes").alias("bytes"), *[F.sum(F.col(c).isNull().cast("long")).alias(f"{c}_missing") for c in columns])
+
+
 def first_available(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The first path that can be read."""
     error: Exception | None = None

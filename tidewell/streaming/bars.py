@@ -90,8 +90,94 @@ def closed_candles(messages: DataFrame) -> DataFrame:
     return messages.where("is_closed")
 
 
+def recent_trades(ticks: DataFrame, n: int, key: str = "symbol") -> DataFrame:
+    """The last n ticks of each key after every batch (update mode); the state holds no more than those."""
+
+    def step(k, batches: Iterator, state):
+        import pandas as pd
+
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for pdf in batches:
+            held = sorted(held + list(zip(pdf["at"].astype("int64"), pdf["trade_id"].astype("int64"), pdf["price"].astype(float), strict=True)))[-n:]
+        state.update(tuple(list(map(kind, x)) for kind, x in zip((int, int, float), zip(*held, strict=True), strict=True)))
+        yield pd.DataFrame([(k[0], *x) for x in held], columns=[key, "at", "trade_id", "price"])
+
+    rows = ticks.select(key, F.unix_micros("ts").alias("at"), "trade_id", "price")
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, at long, trade_id long, price double", "ats array<long>, ids array<long>, prices array<double>", "update", "NoTimeout")
+
+
+def asof_static(ticks: DataFrame, static: DataFrame, value: str, days: int = 1, key: str = "symbol") -> DataFrame:
+    """A stream joined with the last static value at or before each tick.
+
+    static: key, ts, value.  It is cut into chunks of days, each a sorted list opened by the last value before it, so the join is on
+    (key, chunk) and a list holds one chunk's values; ticks of chunks after the last value take the latest.
+    """
+    from pyspark.sql import Window
+
+    size = 86_400_000_000 * days
+    s = static.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), F.col(value).alias("_v")).withColumn("_chunk", F.floor(F.col("_t") / size))
+    ranges = s.groupBy(key).agg(F.min("_chunk").alias("a"), F.max("_chunk").alias("b"))
+    every = ranges.select(key, F.explode(F.sequence("a", F.col("b") + 1)).alias("_chunk"))
+    lists = s.groupBy(key, "_chunk").agg(F.array_sort(F.collect_list(F.struct("_t", "_v"))).alias("_own"), F.max(F.struct("_t", "_v")).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    table = every.join(lists, [key, "_chunk"], "left").withColumn("_before", before).drop("_end")
+    table = table.join(ranges.select(key, (F.col("b") + 1).alias("_last")), key)
+    t = F.unix_micros("ts")
+    x = ticks.withColumn("_at", F.floor(t / size)).join(table.withColumnRenamed(key, "_key"), F.expr(f"{key} = _key AND (_at = _chunk OR (_chunk = _last AND _at > _last))"), "left")
+    hit = F.element_at(F.filter(F.concat(F.array_compact(F.array("_before")), F.coalesce("_own", F.array().cast("array<struct<_t:bigint,_v:double>>"))), lambda v: v["_t"] <= t), -1)
+    return x.withColumn(value, F.when(F.size(F.filter(F.concat(F.array_compact(F.array("_before")), F.coalesce("_own", F.array().cast("array<struct<_t:bigint,_v:double>>"))), lambda v: v["_t"] <= t)) > 0, hit["_v"])).select(*ticks.columns, value)
+
+
+def dispatch(events: DataFrame, kind: str, tables: dict[str, str], checkpoint: str):
+    """An event bus replayed from its log: each event goes to the table of its kind, once, in one pass over a batch; others are left out."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        own = batch.where(F.col(kind).isin(*tables)).persist()
+        for name, path in tables.items():
+            own.where(F.col(kind) == name).write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that is run again replaces itself
+        own.unpersist()
+
+    return run_available(events, sink=sink, checkpoint=checkpoint)
+
+
+def score_batches(rows: DataFrame, scorer: Callable[[DataFrame], DataFrame], history: str, out: str, checkpoint: str, days: int = 2, ts: str = "ts"):
+    """Rolling inference: every batch is scored together with the last days kept of the rows before it, and only its own scores are written."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.agg(F.min(ts)).first()[0]
+        if first is None:
+            return
+        old = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(history) if number else batch.limit(0)
+        own = old.where(F.col(ts) >= F.lit(first) - F.expr(f"INTERVAL {days} DAYS")).withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)))
+        scorer(own).where("_new").drop("_new").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{history}/part-of={number}")
+
+    return run_available(rows, sink=sink, checkpoint=checkpoint)
+
+
+def to_daily(ticks: DataFrame, base: str, checkpoint: str, keys: list[str]):
+    """Incremental conversion: each batch is merged into the days it touches, which alone are rewritten; repeated keys keep one row."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        x = batch.withColumn("day", F.to_date("ts"))
+        try:
+            old = spark.read.schema(x.schema).option("basePath", base).parquet(base)
+        except Exception:  # noqa: BLE001 - there is no table before the first batch
+            old = x.limit(0)
+        days = x.select("day").distinct()
+        merged = old.join(F.broadcast(days), "day", "left_semi").unionByName(x).dropDuplicates(keys)
+        # written beside the table first, since a table can't be overwritten while it is read
+        merged.write.mode("overwrite").partitionBy("day").parquet(f"{base}.next")
+        again = spark.read.schema(x.schema).option("basePath", f"{base}.next").parquet(f"{base}.next")
+        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(base)
+
+    return run_available(ticks, sink=sink, checkpoint=checkpoint)
+
+
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None] | None = None, name: str | None = None, mode: str = "append", checkpoint: str | None = None):
-    """Processes all that is there, then ends; into a memory table or a batch function, from a checkpoint if one is named."""
+    """Processes all that is there, then ends; into a memory table (tests) or a batch function, from a checkpoint if one is named."""
     w = df.writeStream.outputMode(mode).trigger(availableNow=True)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
@@ -99,3 +185,21 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None] | None =
     q = w.start()
     q.awaitTermination()
     return q
+
+
+def run_to_table(df: DataFrame, folder: str, mode: str = "append", latest: str | None = None) -> DataFrame:
+    """Processes all that is there into a table under the folder, with a checkpoint beside it, and reads the table.
+
+    append: rows as they are final.  complete: the last state.  update: of each value of ``latest`` what its last batch said.
+    """
+    spark, data, checkpoint = df.sparkSession, f"{folder}/data", f"{folder}/checkpoint"
+    if mode == "append":
+        q = df.writeStream.outputMode("append").trigger(availableNow=True).format("parquet").option("path", data).option("checkpointLocation", checkpoint).start()
+        q.awaitTermination()
+        return spark.read.schema(df.schema).parquet(data)
+    run_available(df, lambda b, i: b.withColumn("_batch", F.lit(i)).write.mode("overwrite").parquet(f"{data}/part-of={i}"), mode=mode, checkpoint=checkpoint)
+    from pyspark.sql import Window
+
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(data)
+    newest = F.max("_batch").over(Window.partitionBy(latest)) if latest else F.lit(rows.agg(F.max("_batch")).first()[0])
+    return rows.withColumn("_newest", newest).where("_batch = _newest").drop("_batch", "_newest")
