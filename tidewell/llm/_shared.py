@@ -7,35 +7,22 @@ is absent, a local folder is made if the master is local (tests on one machine),
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.session import fresh_folder
+
 #: Upper bound of one Arrow batch handed to Python; long texts make short batches.
 BATCH_BYTES = 16 << 20
 #: Bytes of text that a numpy kernel holds expanded at a time.
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; where none is named, a local one, if the master is local too."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 class Scratch:
     """A folder of Parquet tables under the shared folder, one per operator run."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, fresh_folder(spark, name)
         self.names: set[str] = set()
         bound_batches(spark)
 
