@@ -392,3 +392,32 @@ def test_streams_of_books_and_repeats(spark, tmp_path):
     S.run_available(s, sink=lambda df, i: seen.append(df.count()), checkpoint=str(tmp_path / "c"))
     S.run_available(s, sink=lambda df, i: seen.append(df.count()), checkpoint=str(tmp_path / "c"))
     assert seen == [4]  # the second run finds nothing new
+
+
+def test_rare_setups(spark):
+    from tidewell.operators import detectors as D
+
+    calm = {"open": 100.0, "high": 100.2, "low": 99.8, "close": 100.0, "volume": 1.0, "momentum_5": 0.0, "momentum_10": 0.0, "rsi": 50.0, "bb_position": 0.5, "bb_width": 0.1, "volume_ratio": 1.0, "volatility_10": 0.01, "volatility_20": 0.01, "volatility_ratio": 1.0, "price_position": 0.5, "macd_hist": 0.0}
+    last = {
+        "range_mean_reversion": {"bb_position": 0.1}, "breakout_failure": {"bb_position": 0.9}, "volatility_expansion": {"volatility_ratio": 1.6, "volume_ratio": 1.6}, "passive_absorption_bid": {"volume_ratio": 1.6, "momentum_5": 0.002},
+        "passive_absorption_ask": {"volume_ratio": 1.6, "momentum_5": -0.002}, "ignition_bar": {"volume_ratio": 3.1, "high": 100.9, "low": 99.9}, "exhaustion_reversal": {"rsi": 75.0, "momentum_5": -0.01, "volume_ratio": 2.0},
+    }
+    rows = [{"symbol": name, "ts": i, **calm, **(change if i == 29 else {})} for name, change in last.items() for i in range(30)]
+    got = D.at_last_bar(D.setups(spark.createDataFrame(pd.DataFrame(rows))), [*D.SETUPS, *D.CONFIDENCES]).toPandas().set_index("symbol")
+    assert all(got.loc[name, name] == 1 for name in last)
+    # the exhausted bar is also one of high volume, no progress and falling prices
+    holds = {name: {s for s in got.index if got.loc[s, name]} for name in last}
+    assert holds == {**{name: {name} for name in last}, "breakout_failure": {"breakout_failure", "range_mean_reversion"}, "range_mean_reversion": {"breakout_failure", "range_mean_reversion"}, "passive_absorption_ask": {"passive_absorption_ask", "exhaustion_reversal"}}
+    assert got.loc["range_mean_reversion", "range_reversion_confidence"] == pytest.approx(0.8) and got.loc["exhaustion_reversal", "exhaustion_confidence"] == pytest.approx(1 / 6)
+    empty = D.setups(D.setup_features(spark.createDataFrame([], "symbol string, ts long, open double, high double, low double, close double, volume double")))
+    assert empty.count() == 0
+
+
+def test_expert_weights_cases(spark):
+    x = spark.createDataFrame(
+        [("a", "x", 0.1, 0.0, 1.0, 1.0, False, 0.5, None), ("b", "x", 0.9, 0.0, 0.0, None, True, 0.5, None), ("b", "y", 0.9, 1.0, 0.5, None, False, 0.5, 0.4), ("b", "z", 0.9, 1.0, 0.5, -1.0, False, None, 0.4)],
+        "k string, e string, intensity double, emergence double, confidence double, reliability double, current boolean, exit_hazard double, generalist double",
+    )
+    got = {(r.k, r.expert): (round(r.gate, 6), round(r.weight, 6)) for r in metrics.expert_weights(x, ["k"], "e", most=2).collect()}
+    # a is too weak and has no generalist; of b's three equal ones the first two by name count
+    assert got == {("b", "x"): (0.315, 0.0), ("b", "y"): (0.93, round(0.465 / 0.665, 6)), ("b", "generalist"): (0.5, round(0.2 / 0.665, 6))}

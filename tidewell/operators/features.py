@@ -98,6 +98,15 @@ def snapshot(df: DataFrame, columns: list[str], flags: dict, key: str = E.KEY, t
     return x.groupBy(key).agg(F.max_by(F.struct(ts, *columns, *flags), ts).alias("x")).select(key, "x.*")
 
 
+def volume_summary(bars: DataFrame, n: int = 20, k: int = 5, key: str = E.KEY) -> DataFrame:
+    """At the last bar of each series: vwap of n bars, volume-price trend, change of volume over k bars and its ratio to the mean of n."""
+    x = bars.withColumn("_f", F.col("volume") * E.pct("close", key=key)).withColumns({
+        "vwap": E.div(E.total(F.col("close") * F.col("volume"), n, key=key), E.total("volume", n, key=key)), "vpt": E.cumulative("_f", key=key),
+        "volume_roc": E.pct("volume", k, key=key), "volume_ma_ratio": E.div("volume", E.mean("volume", n, key=key)),
+    })
+    return x.groupBy(key).agg(F.max_by(F.struct("ts", "vwap", "vpt", "volume_roc", "volume_ma_ratio"), "ts").alias("_x")).select(key, "_x.*")
+
+
 def slopes(df: DataFrame, columns: tuple[str, ...] = ("ema_20", "sma_50"), key: str = E.KEY) -> DataFrame:
     """Change of each column from the bar before."""
     return df.withColumns({f"{c}_slope": E.diff(c, key=key) for c in columns})

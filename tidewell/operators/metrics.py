@@ -136,3 +136,38 @@ def safe_leverage(risk, multiplier: float = 0.8, least: int = 10, most: int = 10
 def risk_level(risk):
     """Name of an adverse risk."""
     return F.when(risk <= 0.05, "VERY_LOW").when(risk <= 0.1, "LOW").when(risk <= 0.2, "MODERATE").when(risk <= 0.3, "HIGH").otherwise("VERY_HIGH")
+
+
+def volatility_percentile(df: DataFrame, r: str = "r", n: int = 20, key: str = E.KEY) -> DataFrame:
+    """Per series, the share of its rows whose deviation of n returns is below the last one; one half with fewer than n returns."""
+    x = df.where(F.col(r).isNotNull()).withColumn("_v", E.std(r, n, key=key))
+    x = x.withColumn("_now", F.max_by("_v", "ts").over(Window.partitionBy(key)))
+    below = F.avg(E.flag(F.col("_v") < F.col("_now")))
+    return x.groupBy(key).agg(F.when(F.count("*") >= n, below).otherwise(0.5).alias("volatility_percentile"))
+
+
+def expert_weights(df: DataFrame, keys: list[str], expert: str, most: int = 3, least: float = 0.15, alpha: float = 0.7, beta: float = 0.3) -> DataFrame:
+    """Long (keys, expert, gate, weight): confidence times reliability times gate, over their sum within the keys.
+
+    Of experts whose intensity is ``least`` or more the ``most`` strongest count (ties: by name); the gate mixes intensity and
+    emergence, and is lowered by the exit hazard where the expert is the current one.  A column ``generalist`` adds a row of that
+    name, lowered by the hazard always.  Without any weight all are 0.  Columns: intensity, emergence, confidence, reliability
+    (1 if missing), current, exit_hazard (0 if missing).
+    """
+    own = Window.partitionBy(*keys)
+    stay = F.greatest(1 - F.coalesce("exit_hazard", F.lit(0.0)), F.lit(0.0))
+    strong = df.where(F.col("intensity") >= least).withColumn("_n", F.row_number().over(own.orderBy(F.desc("intensity"), expert))).where(F.col("_n") <= most)
+    gate = E.clip(alpha * F.col("intensity") + beta * F.coalesce("emergence", F.lit(0.0)), 0, 1) * F.when(F.col("current"), stay).otherwise(1.0)
+    positive = lambda x: F.greatest(x, F.lit(0.0))
+    x = strong.select(*keys, F.col(expert).alias("expert"), gate.alias("gate"), (positive(F.coalesce("confidence", F.lit(0.0))) * positive(F.coalesce("reliability", F.lit(1.0))) * gate).alias("_w"))
+    if "generalist" in df.columns:
+        one = df.where("generalist is not null").groupBy(*keys).agg(F.max("generalist").alias("_g"), F.min(stay).alias("_s"))
+        x = x.unionByName(one.select(*keys, F.lit("generalist").alias("expert"), F.col("_s").alias("gate"), (positive(F.col("_g")) * F.col("_s")).alias("_w")))
+    return x.withColumn("weight", F.coalesce(F.try_divide(F.col("_w"), F.sum("_w").over(own)), F.lit(0.0))).drop("_w")
+
+
+def prediction_curve(df: DataFrame, confidence: str, prediction: str, label: str, least: float = 0.6, unit: float = 0.01, key: str = E.KEY) -> DataFrame:
+    """Trades where confident, in order: result and running total, and how far that is below its peak."""
+    x = df.where(F.col(confidence) >= least).withColumn("pnl", F.when(F.col(prediction) == F.col(label), unit).otherwise(-unit))
+    x = x.withColumn("cumulative", E.cumulative("pnl", key=key))
+    return x.withColumn("drawdown", F.greatest(E.expanding_max("cumulative", key=key), F.lit(0.0)) - F.col("cumulative"))

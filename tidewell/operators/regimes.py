@@ -81,6 +81,15 @@ def transition_matrix(df: DataFrame, column: str = "regime", key: str = E.KEY) -
     return c.withColumn("p", F.col("n") / (F.sum("n").over(Window.partitionBy("from_value")) + 1e-9))
 
 
+def next_probabilities(df: DataFrame, values: list[str], column: str = "regime", key: str = E.KEY) -> DataFrame:
+    """p_next_<value>: the share of successions of the row's value that went there, over all series; 0 where it has none.
+
+    The matrix has a row per value, so Spark broadcasts it by its measured size.
+    """
+    m = transition_matrix(df, column, key).groupBy(F.col("from_value").alias(column)).agg(*[F.sum(F.when(F.col("to_value") == v, F.col("p"))).alias(f"p_next_{v}") for v in values])
+    return df.join(m, column, "left").withColumns({f"p_next_{v}": F.coalesce(f"p_next_{v}", F.lit(0.0)) for v in values})
+
+
 def smoothed_probabilities(df: DataFrame, values: list[str], column: str = "regime", span: int = 3) -> DataFrame:
     """p_<value> by exponential means of indicators, normalised; change, second change and entropy."""
     x = df.withColumns({f"_i_{v}": (F.col(column) == v).cast("double") for v in values})

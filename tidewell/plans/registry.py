@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import analysis, features, rules, series, store, tables  # noqa: F401 - registration
+from tidewell.plans import analysis, detectors, features, rules, series, store, tables  # noqa: F401 - registration
 from tidewell.plans.base import ORACLES, QUERIES
 
 
