@@ -38,3 +38,30 @@ def same_as_sql(spark, tmp_path):
 
 def test_csv_trades_with_a_price_of_zero(same_as_sql):
     assert [r["price"] for r in same_as_sql("csv_trades", [(0, "A", 5), (1, "A", 0), (2, "B", 7)])] == [5.0, 0.0, 7.0]
+
+
+def test_order_book_of_updates_out_of_order(spark, tmp_path):
+    from tidewell.streaming import bars as S
+
+    schema, n = "symbol string, seq long, side string, price double, qty double", 200
+    # the greatest seq of a level comes first; level 0 is removed by its last update, level 1 has it in the first file
+    x = [("A", i, "bid", float(i % 4), 0.0 if i % 4 == 0 and i >= n - 4 else float(i)) for i in reversed(range(n))]
+    spark.createDataFrame(x, schema).coalesce(1).write.parquet(str(tmp_path / "u/1"))
+    spark.createDataFrame([("A", 1, "bid", 1.0, 7.0), ("A", 0, "bid", 0.0, 7.0)], schema).coalesce(1).write.parquet(str(tmp_path / "u/2"))
+    s = S.tick_stream(spark, str(tmp_path / "u/*"), schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # as larger groups are, in parts
+    try:
+        got = S.run_to_table(S.order_book(s), str(tmp_path / "t"), "update", "symbol").orderBy("level").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.level, r.price, r.qty) for r in got] == [(0, 3.0, 199.0), (1, 2.0, 198.0), (2, 1.0, 197.0)]
+
+
+def test_order_book_that_empties(spark, tmp_path):
+    from tidewell.streaming import bars as S
+
+    schema = "symbol string, seq long, side string, price double, qty double"
+    for i, q in enumerate((3.0, 0.0)):
+        spark.createDataFrame([("A", i, "ask", 1.0, q)], schema).coalesce(1).write.parquet(str(tmp_path / f"u/{i}"))
+    t = S.run_to_table(S.order_book(S.tick_stream(spark, str(tmp_path / "u/*"), schema)), str(tmp_path / "t"), "update", "symbol")
+    assert [(r.symbol, r.level) for r in t.collect()] == [("A", None)]

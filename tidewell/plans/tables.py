@@ -256,7 +256,7 @@ def stream_daily_conversion(spark, sf):
 def stream_order_book(spark, sf):
     raw = table(spark, sf, "events")
     x = S.tick_stream(spark, f"{sf}/events.parquet*", raw.schema).select(F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.when(F.col("user_id") % 2 == 0, "bid").otherwise("ask").alias("side"), (F.floor(F.col("value") / 10) * 10).cast("double").alias("price"), (F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') AS double)"), F.lit(0.0)) % 50).alias("qty"))
-    return _table(spark, S.order_book(x, depth=5), "update", "symbol")
+    return _table(spark, S.order_book(x, depth=5), "update", "symbol").where("level IS NOT NULL")
 
 
 @query(f"{_CLOSED}, b AS (SELECT symbol, date_trunc('hour', ts) AS ts, {OHLC} FROM trades GROUP BY symbol, date_trunc('hour', ts)) SELECT b.symbol, b.ts, b.close FROM b, w WHERE b.ts + INTERVAL 1 hour <= mark AND trades >= 2")

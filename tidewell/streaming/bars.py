@@ -62,28 +62,31 @@ def stateful_ema(ticks: DataFrame, span: float, key: str = "symbol") -> DataFram
 
 
 def order_book(updates: DataFrame, key: str = "symbol", depth: int = 20) -> DataFrame:
-    """Best levels of each side after each batch; a quantity of 0 removes its level."""
+    """Best levels of each side after each batch; of each level the update of greatest seq counts, in whatever order they arrive.
+
+    A quantity of 0 removes its level, which the state keeps by its seq so that an older update can't bring it back.  A book without levels
+    left is one row without side and level, so that its last levels don't stay.
+    """
 
     def step(k, batches: Iterator, state):
         import pandas as pd
 
-        book = {}
+        book = {}  # (side, price): (seq, qty)
         if state.exists:
-            sides, prices, sizes = state.get
-            book = {(s, p): q for s, p, q in zip(sides, prices, sizes, strict=True)}
-        for pdf in batches:
-            for s, p, q in pdf.sort_values("seq")[["side", "price", "qty"]].itertuples(index=False):
-                if q == 0:
-                    book.pop((s, p), None)
-                else:
-                    book[(s, p)] = q
+            book = {(s, p): (n, q) for s, p, n, q in zip(*state.get, strict=True)}
+        for pdf in batches:  # rows of one key come in several parts, in no order
+            newest = pdf.sort_values(["seq", "qty"]).drop_duplicates(["side", "price"], keep="last")
+            for s, p, n, q in newest[["side", "price", "seq", "qty"]].itertuples(index=False):
+                book[(s, p)] = max(book.get((s, p), (n, q)), (n, q))
         rows = sorted(book.items())
-        state.update(([x[0][0] for x in rows], [float(x[0][1]) for x in rows], [float(x[1]) for x in rows]))
-        bids = sorted(((p, q) for (s, p), q in rows if s == "bid"), reverse=True)[:depth]
-        asks = sorted((p, q) for (s, p), q in rows if s == "ask")[:depth]
-        yield pd.DataFrame([(k[0], side, i, p, q) for side, own in (("bid", bids), ("ask", asks)) for i, (p, q) in enumerate(own)], columns=[key, "side", "level", "price", "qty"])
-
-    return updates.groupBy(key).applyInPandasWithState(step, f"{key} string, side string, level long, price double, qty double", "sides array<string>, prices array<double>, sizes array<double>", "update", "NoTimeout")
+        state.update(([x[0][0] for x in rows], [float(x[0][1]) for x in rows], [int(x[1][0]) for x in rows], [float(x[1][1]) for x in rows]))
+        left = [(s, p, q) for (s, p), (_, q) in rows if q != 0]
+        bids = sorted(((p, q) for s, p, q in left if s == "bid"), reverse=True)[:depth]
+        asks = sorted((p, q) for s, p, q in left if s == "ask")[:depth]
+        out = [(k[0], side, i, p, q) for side, own in (("bid", bids), ("ask", asks)) for i, (p, q) in enumerate(own)]
+        yield pd.DataFrame(out or [(k[0], None, None, None, None)], columns=[key, "side", "level", "price", "qty"])
+
+    return updates.groupBy(key).applyInPandasWithState(step, f"{key} string, side string, level long, price double, qty double", "sides array<string>, prices array<double>, seqs array<long>, sizes array<double>", "update", "NoTimeout")
 
 
 def closed_candles(messages: DataFrame) -> DataFrame:
