@@ -91,3 +91,8 @@ def test_volatility_estimators_of_zero_prices(same_as_sql):
 def test_spread_of_zero_prices(same_as_sql):
     got = {(r["symbol"], r["ts"]): r["bid_ask_spread"] for r in same_as_sql("corwin_schultz_roll", ZEROS)}
     assert got["B", T0] == 0 and got["B", T0 + dt.timedelta(hours=1)] == 0.05  # no covariance yet for the Roll estimate
+
+
+def test_best_threshold_where_none_is_within_bounds(same_as_sql):
+    assert len(same_as_sql("best_threshold", [(h, "A", 5 + h * k) for h in range(9) for k in range(h % 5 + 1)])) == 1
+    assert same_as_sql("best_threshold", [(h, "A", 5 + h * k) for h in range(9) for k in range(1, 6)]) == []  # every bar is at every threshold

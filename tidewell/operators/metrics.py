@@ -77,10 +77,12 @@ def activation_threshold(df: DataFrame, intensity: str, r: str = "r", label: str
     return df.agg(F.array(*[one(t) for t in grid]).alias("x")).select(F.explode("x").alias("x")).select("x.*").where("frequency > 0")
 
 
-def best_threshold(df: DataFrame, intensity: str, r: str = "r", label: str = "label", least: float = 0.01, most: float = 0.5, fallback: float = 0.5, **kw) -> DataFrame:
-    """The threshold of greatest profit factor whose frequency is within bounds (the lowest of equal ones), or the fallback."""
+def best_threshold(df: DataFrame, intensity: str, r: str = "r", label: str = "label", least: float = 0.01, most: float = 0.5, fallback: float | None = 0.5, **kw) -> DataFrame:
+    """The threshold of greatest profit factor whose frequency is within bounds (the lowest of equal ones), or the fallback (None: no row)."""
     x = activation_threshold(df, intensity, r, label, **kw).where(F.col("frequency").between(least, most))
     top = x.agg(F.max_by(F.struct(*x.columns), F.struct("profit_factor", -F.col("threshold"))).alias("x"))
+    if fallback is None:
+        return top.where(F.col("x").isNotNull()).select("x.*")
     rest = {c: F.coalesce(F.col(f"x.{c}"), F.lit(fallback if c == "threshold" else 0.0)).alias(c) for c in x.columns}
     return top.select(*rest.values())
 
