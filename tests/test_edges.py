@@ -96,3 +96,10 @@ def test_spread_of_zero_prices(same_as_sql):
 def test_best_threshold_where_none_is_within_bounds(same_as_sql):
     assert len(same_as_sql("best_threshold", [(h, "A", 5 + h * k) for h in range(9) for k in range(h % 5 + 1)])) == 1
     assert same_as_sql("best_threshold", [(h, "A", 5 + h * k) for h in range(9) for k in range(1, 6)]) == []  # every bar is at every threshold
+
+
+def test_validation_of_zero_and_infinite_prices(same_as_sql):
+    # at 05:00 the query moves the open to high - 400, below the low of 0
+    ticks = [(4, "A", 0), (4, "A", 3), (5, "A", 0), (5, "A", 3), (6, "A", 2), (6, "A", float("inf")), (6, "A", 4), (7, "B", float("inf"))]
+    got = {r["symbol"]: (r["negative"], r["zero_price"], r["infinite"], r["failure"]) for r in same_as_sql("kline_validation_report", ticks)}
+    assert got == {"A": (1, 1, 0, "negative"), "B": (0, 0, 1, "infinite")}
