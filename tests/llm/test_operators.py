@@ -775,3 +775,20 @@ def test_decontamination_sql_seeks_short_items(spark, tmp_path):
     got = {tuple(r)[:2] for r in queries.op3_decontamination(spark, str(tmp_path)).collect()}
     assert got == {(1, 1), (1, 4), (4, 2), (4, 5), (5, 4)}
     assert got == {r[:2] for r in con.execute(queries.oracle_sql()["op3_decontamination"]).fetchall()}
+
+
+def test_tasks_give_freed_memory_back(monkeypatch):
+    """Workers stay between tasks, and what they hold counts with their executor."""
+    import pyarrow as pa
+
+    from tidewell.llm import bagminhash, quality, token_files
+    from tidewell.llm.queries import tokenizer_path
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array(["a b c d e f"])], ["a", "b", "text"])
+    called = []
+    for module in (bagminhash, quality, token_files):
+        monkeypatch.setattr(module, "trim", lambda name=module.__name__: called.append(name))
+    list(bagminhash._sign(iter([batch])))
+    list(quality._features(iter([pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(0), batch.column(2)], list("abcd"))])))
+    list(token_files._tokenise(tokenizer_path())(iter([batch])))
+    assert len(called) == 3

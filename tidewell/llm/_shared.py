@@ -6,8 +6,11 @@ is absent, a local folder is made if the master is local (tests on one machine),
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.session import fresh_folder
@@ -60,3 +63,10 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished jobs, which else stay until the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Gives the memory that a task of a Python worker has freed back to the system; workers stay, and count with their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc only
+        ctypes.CDLL(None).malloc_trim(0)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import Scratch, partitions
+from tidewell.llm._shared import Scratch, partitions, trim
 from tidewell.llm._text import mix, shingled
 from tidewell.llm.graph import components
 
@@ -138,6 +138,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = mix(bands ^ sig[:, r::ROWS])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), b.column(1).slice(row, n), pa.array(k1), pa.array(k2), pa.array(words.astype(np.int64)), flat], ["doc_id", "tag", "k1", "k2", "words", "bands"])
+    trim()
 
 
 PAIRS = "u long, v long"
@@ -179,6 +180,7 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
                         out.append((pivot[i], node[i]))
         cols = list(zip(*out, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
+    trim()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -251,6 +253,7 @@ def _blocks(threshold: float):
                                 out.append((few[x][0], node[i]))
             cols = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v"])
+        trim()
 
     return run
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import Scratch, bound_batches
+from tidewell.llm._shared import Scratch, bound_batches, trim
 from tidewell.llm._text import hashed, mix, shingles
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -130,6 +130,7 @@ def _without(index):
             for r, _, _ in index.value.found(b.column(b.num_columns - 1)):
                 keep[r] = False
             yield b.filter(pa.array(keep))
+        trim()
 
     return run
 

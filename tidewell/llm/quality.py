@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._shared import bound_batches
+from tidewell.llm._shared import bound_batches, trim
 from tidewell.llm._text import SEPARATOR, buffers, chunks, shingles, span_hashes, word_spans
 
 #: Most labelled rows that a model is fitted on.
@@ -154,6 +154,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = statistics(b.column(3))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.reshape(-1)))
         yield pa.RecordBatch.from_arrays([*b.columns[:3], flat], ["doc_id", "label", "tag", "x"])
+    trim()
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fold: int = 4, held: int = 2, sample: int = SAMPLE) -> Trees:
@@ -178,6 +179,7 @@ def score_quality(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_i
         for b in batches:
             score = held.value.score(statistics(b.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score)], names)
+        trim()
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes[: len(keep)]), "score double"])

@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm._shared import Scratch, partitions, release
+from tidewell.llm._shared import Scratch, partitions, release, trim
 
 END, LIMIT, STRIDE, TOTALS, SLICE = 0, 20, 128, -1, 1 << 15
 #: Ids gathered before a block is closed; pieces that a worker keeps with their ids (twice as many at most).
-BLOCK_TOKENS, CACHE = 1 << 19, 400_000
+BLOCK_TOKENS, CACHE = 1 << 19, 300_000
 #: Text of one bucket, about.
 BUCKET_BYTES = 64 << 20
 _U = np.uint64
@@ -201,6 +201,7 @@ def _tokenise(path: str):
         if docs:
             yield close()
             yield row(TOTALS, 0, [], [], [total.astype("<i8").tobytes()])
+        trim()
 
     return run
 
@@ -308,6 +309,7 @@ def _encode(book):
                 ids = from_planes(b.column(4)[i].as_py())
                 payload, checkpoints = codes.encode(ids)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns[:4]), pa.array([len(ids)], pa.int64()), pa.array([checkpoints], pa.binary()), pa.array([payload], pa.binary())], ["bucket", "block", "doc_ids", "lengths", "n_tokens", "checkpoints", "payload"])
+        trim()
 
     return run
 
@@ -325,6 +327,7 @@ def _decode(book):
                 cut = np.concatenate([[0], np.cumsum(lengths)])
                 crc = [zlib.crc32(ids[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([docs.values, pa.array(start.as_py() + cut[:-1]), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([bucket.as_py()] * len(crc), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "bucket"])
+        trim()
 
     return run
 
@@ -339,6 +342,7 @@ def count_ids(docs: DataFrame, tokenizer_path: str, name: str) -> DataFrame:
         for b in batches:
             n = pa.array([len(encode(x.as_py() or "")) // 4 + 1 for x in b.column(b.num_columns - 1)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*b.schema.names[:-1], name])
+        trim()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.LongType())]))
 
