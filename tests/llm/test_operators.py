@@ -792,3 +792,13 @@ def test_tasks_give_freed_memory_back(monkeypatch):
     list(quality._features(iter([pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(0), batch.column(2)], list("abcd"))])))
     list(token_files._tokenise(tokenizer_path())(iter([batch])))
     assert len(called) == 3
+
+
+def test_encoder_asks_the_model_once_for_a_word_and_its_stops(reference_tokens):
+    encode, asked = token_files.Encoder(queries.tokenizer_path()), []
+    words = encode.tail.words
+    own = words.tokenize
+    words.tokenize = lambda word: asked.append(word) or own(word)
+    for t in ["x Abcdxyz. Abcdxyz, Abcdxyz", "x Abcdxyz.\nHijkxyz, Abcdxyz.\nHijkxyz, Abcdxyz.\nHijkxyz,"]:
+        assert np.frombuffer(encode(t), "<u4").tolist() == reference_tokens(t)
+    assert sum("Abcdxyz" in x for x in asked) == 1 and sum("Hijkxyz" in x for x in asked) == 1

@@ -24,9 +24,10 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import operator
 import re
 import zlib
-from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,7 @@ _LINES = re.compile(r"(\S+)\n(\S+)")
 
 
 #: The pre-tokenizer makes one token of a run of letters, and one of the ASCII punctuation that ends a piece.
-_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-_STOPS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_STOPPED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
 
 
 def byte_letters() -> list[str]:
@@ -58,6 +58,9 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(free)) for b in range(256)]
 
 
+_ID = operator.attrgetter("id")
+
+
 class _Apart(Exception):
     """A space that no non-space follows: the text must be cut with care."""
 
@@ -67,9 +70,10 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         self.tokenize = tokenizer.model.tokenize
+        self.bytes = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values(), default=0) + 1)].__getitem__
 
     def ids(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        return b"".join(map(self.bytes, map(_ID, self.tokenize(word))))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
@@ -79,38 +83,49 @@ class _Words(dict):
 
 
 class _Pieces(dict):
-    """Bytes of the ids of a piece with its prefix, encoded when first met."""
+    """Bytes of the ids of a piece with its prefix, encoded when first met.
+
+    Of a word with stops and of two parts around a line break the parts are kept, and the whole only once its parts were known.
+    """
 
-    def __init__(self, tokenizer, prefix: str, words: _Words, letters: list[str], head: _Pieces | None = None):
+    def __init__(self, tokenizer, prefix: str, words: _Words, letters: str, head: _Pieces | None = None):
         self.encode, self.prefix, self.words, self.head = tokenizer.encode, prefix, words, self if head is None else head
         self.old: dict[str, bytes] = {}
-        self.start, self.line = "".join(letters[b] for b in prefix.encode()), letters[10]
-        self.letters = {chr(i): "".join(letters[b] for b in chr(i).encode()) for i in range(33, 0x250)}
+        self.letters, self.start, self.line = letters, charmap_decode(prefix.encode(), "strict", letters)[0], letters[10]
 
     def word(self, word: str) -> bytes:
         """Ids of a Latin word."""
-        return self.words.ids(self.start + (word if word.isascii() else "".join(map(self.letters.__getitem__, word))))
+        return self.words.ids(self.start + (word if word.isascii() else charmap_decode(word.encode(), "strict", self.letters)[0]))
 
-    def __missing__(self, piece: str) -> bytes:
-        if self.start and (not piece or piece[0].isspace()):
-            raise _Apart
+    def keep(self, piece: str, ids: bytes) -> bytes:
         if len(self) >= CACHE:  # what is used again comes back from the generation before
             self.old = dict(self)
             self.clear()
-        if ids := self.old.get(piece):
-            pass
-        elif piece.isascii() and piece.isalpha():
-            ids = self.words.ids(self.start + piece)
-        elif (word := piece.rstrip(_STOPS)) and word.isalpha() and (word.isascii() or _LATIN.fullmatch(word)):
-            stops = piece[len(word) :]
-            ids = (self.get(word) or self.word(word)) + self.words[stops] if stops else self.word(word)
-        elif m := _LINES.fullmatch(piece):  # a line break between two non-spaces is a token of its own
-            ids = self[m[1]] + self.words[self.line] + self.head[m[2]]
-        else:
-            ids = np.array(self.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
         self[piece] = ids
         return ids
 
+    def __missing__(self, piece: str) -> bytes:
+        if ids := self.old.get(piece):
+            return self.keep(piece, ids)
+        if piece.isascii() and piece.isalpha():
+            return self.keep(piece, self.words.ids(self.start + piece))
+        if m := _STOPPED.fullmatch(piece):
+            word, stops = m.groups()
+            if not stops:
+                return self.keep(piece, self.word(word))
+            ids = self.get(word)
+            if ids or (ids := self.old.get(word)):
+                return self.keep(piece, ids + self.words[stops])
+            return self.keep(word, self.word(word)) + self.words[stops]
+        if self.start and (not piece or piece[0].isspace()):
+            raise _Apart
+        if m := _LINES.fullmatch(piece):  # a line break between two non-spaces is a token of its own
+            first, second = m.groups()
+            known = first in self and second in self.head
+            ids = self[first] + self.words[self.line] + self.head[second]
+            return self.keep(piece, ids) if known else ids
+        return self.keep(piece, np.array(self.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes())
+
 
 class Encoder:
     """Whole texts to ids, exactly as the tokenizer's ``encode`` gives them (byte-level BPE without a normalizer)."""
@@ -119,7 +134,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        words, letters = _Words(self.tokenizer), byte_letters()
+        words, letters = _Words(self.tokenizer), "".join(byte_letters())
         self.head = _Pieces(self.tokenizer, "", words, letters)
         self.tail = _Pieces(self.tokenizer, " ", words, letters, self.head)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -268,17 +283,19 @@ class Codebook:
         end = np.cumsum(bits)
         begin = end - bits
         total = int(end[-1]) if len(ids) else 0
-        words = np.zeros((total >> 5) + 3, _U)
+        words = np.zeros((total >> 6) + 2, _U)
         for i in range(0, len(ids), SLICE):  # slices stay in a processor's cache
             own = slice(i, i + SLICE)
-            # each code lies in two 32-bit words at most; bits of different codes are disjoint, so sums are unions
-            at = begin[own] >> 5
-            wide = self.code[ids[own]] << (64 - (begin[own] & 31) - bits[own]).astype(_U)
+            # each code lies in two 64-bit words at most; bits of different codes are disjoint, so sums are unions
+            at, code, over = begin[own] >> 6, self.code[ids[own]], (begin[own] & 63) + bits[own] - 64
             new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            for part, shift in ((wide >> _U(32), 0), (wide & _U(0xFFFFFFFF), 1)):
-                words[at[new] + shift] += np.add.reduceat(part, new)
+            cut = np.flatnonzero(over > 0)
+            left = code << np.maximum(-over, 0).astype(_U)
+            left[cut] = code[cut] >> over[cut].astype(_U)
+            words[at[new]] += np.add.reduceat(left, new)
+            words[at[cut] + 1] += code[cut] << (64 - over[cut]).astype(_U)
         marks = begin[::STRIDE]
-        return words.astype(">u4").tobytes()[: (total + 7) // 8], np.diff(marks, prepend=0).astype("<u2").tobytes()
+        return words.astype(">u8").tobytes()[: (total + 7) // 8], np.diff(marks, prepend=0).astype("<u2").tobytes()
 
     def decode(self, payload: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """All n ids of a block, its checkpoints in lockstep."""
